@@ -39,20 +39,35 @@ def _json_path(path: str) -> str:
 class _Record:
     """Typed access to one JSON column through the variant functions.
 
-    The text is parsed once per row, into the helper column added by :meth:`attach`.
+    Per row the text is parsed once and the type of every path asked for is looked up once.
+    Both become columns through :meth:`resolve`; a generator adds them, because the optimizer
+    would copy an ordinary projection into each of the many rules that read it.
     """
 
-    COLUMN = "_parsed_record"
+    PARSED = "_record"
 
     def __init__(self, json_column: str) -> None:
         self.text = F.col(json_column)
-        self.variant = F.col(self.COLUMN)
+        self.variant = F.col(self.PARSED)
+        self.paths: dict[str, str] = {}
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.COLUMN, F.try_parse_json(self.text))
+    def parse(self, df: DataFrame) -> DataFrame:
+        if self.PARSED in df.columns:
+            return df
+        return df.withColumn(self.PARSED, F.try_parse_json(self.text))
+
+    def resolve(self, df: DataFrame) -> DataFrame:
+        types = [
+            F.schema_of_variant(F.try_variant_get(self.variant, _json_path(p), "variant")).alias(a)
+            for p, a in self.paths.items()
+        ]
+        return self.parse(df).select("*", F.inline(F.array(F.struct(*types))))
+
+    def is_object(self) -> Column:
+        return self.variant.isNotNull() & F.ltrim(self.text).startswith("{")
 
     def type_of(self, path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(self.variant, _json_path(path), "variant"))
+        return F.col(self.paths.setdefault(path, f"_type{len(self.paths)}"))
 
     def get(self, path: str, as_type: str) -> Column:
         return F.try_variant_get(self.variant, _json_path(path), as_type)
@@ -144,14 +159,12 @@ def closed_schema_violations(
 
 def _report(df: DataFrame, key: str, record: _Record, violations: Sequence[Violation]) -> DataFrame:
     """Rows ``(key, ordinal, rule, label)``; the lowest ordinal is the first violation."""
-    is_object = F.coalesce(
-        F.schema_of_variant(record.variant).startswith("OBJECT<"), F.lit(False)
-    )
+    is_object = record.is_object()
     entries = [F.when(~is_object, _entry(0, "not_an_object", ""))]
     for ordinal, (rule, label, condition) in enumerate(violations, 1):
         entries.append(F.when(is_object & condition, _entry(ordinal, rule, label)))
-    hits = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return record.attach(df).select(F.col(key).cast("string").alias("key"), F.inline(hits))
+    hits = F.array_compact(F.array(*entries))
+    return record.resolve(df).select(F.col(key).cast("string").alias("key"), F.inline(hits))
 
 
 def _entry(ordinal: int, rule: str, label: str) -> Column:
@@ -320,7 +333,7 @@ def _matrix_faults(
 def validate_whitening_records(df: DataFrame, key: str, json_column: str) -> DataFrame:
     """Whitening artifacts as JSON: closed keys, kinds and ranges, then shapes and inverses."""
     record = _Record(json_column)
-    prepared = record.attach(df).withColumn(
+    prepared = record.parse(df).withColumn(
         "matrix_fault",
         F.arrow_udf(_matrix_faults, "string")(
             record.get("n_features", "int"),
