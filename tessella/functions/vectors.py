@@ -29,12 +29,11 @@ def dot(left: Column, right: Column) -> Column:
 def channel_means(values: Column, channels: int) -> Column:
     """Mean of each channel of a channel-last array."""
     per_channel = F.size(values) / F.lit(channels)
-    return F.array(
-        *[
-            total(F.filter(values, lambda v, i, c=c: i % channels == c)) / per_channel
-            for c in range(channels)
-        ]
-    )
+
+    def channel(c: int) -> Column:
+        return F.filter(values, lambda v, i: i % channels == c)
+
+    return F.array(*[total(channel(c)) / per_channel for c in range(channels)])
 
 
 def remove_dc(values: Column, dc: Column, channels: int) -> Column:
