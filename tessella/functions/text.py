@@ -56,17 +56,26 @@ def resolve_under_root(root: str, path: Column) -> Column:
     )
 
 
+_ISO_SHAPE = (
+    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+    r"(?:[\s\S](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,]\d+)?)?)?"
+    r"(?:Z|[+-](\d{2})(?::?(\d{2})(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
+)
+
+
 def is_iso8601(value: Column) -> Column:
-    """ISO-8601 date or timestamp, optionally with a zone (``Z`` included)."""
-    shaped = value.rlike(
-        r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    )
-    # Spark wants minutes in a timestamp and a colon in a zone, so both are filled in first.
-    filled = F.regexp_replace(value, r"^(\S{10}[T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
-    filled = F.regexp_replace(filled, ",", ".")
-    filled = F.regexp_replace(filled, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    filled = F.when(F.length(value) == 10, value).otherwise(filled)
-    return F.coalesce(shaped & F.try_to_timestamp(filled).isNotNull(), F.lit(False))
+    """ISO-8601 calendar date or timestamp, extended or basic, optionally with a zone."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(value, _ISO_SHAPE, group)
+
+    def below(group: int, limit: int) -> Column:
+        return F.coalesce(F.try_to_number(part(group), F.lit("99")), F.lit(0)) < limit
+
+    day = F.concat_ws("-", part(1), part(3), part(4))
+    in_range = below(5, 24) & below(7, 60) & below(8, 60) & below(9, 24) & below(10, 60)
+    real_day = F.try_to_date(day, "yyyy-MM-dd").isNotNull() & (part(1) != "0000")
+    return F.coalesce(value.rlike(_ISO_SHAPE) & real_day & in_range, F.lit(False))
 
 
 def first_leak(line: Column) -> Column:

@@ -27,11 +27,12 @@ def read_csv_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     header = [] if first is None else [h.strip('"') for h in first[0].rstrip("\r").split(",")]
     if header != names:
         raise ValueError(f"columns {header} != expected {names}")
-    return (
+    table = (
         spark.read.schema(schema)
-        .options(enforceSchema=False, mode="FAILFAST", nullValue="\0", **CSV_DIALECT)
+        .options(enforceSchema=False, mode="FAILFAST", **CSV_DIALECT)
         .csv(path)
     )
+    return table.fillna("", subset=[name for name, kind in table.dtypes if kind == "string"])
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
