@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import vectors as vec
 from tessella.operators.features import per_row_normalize
 from tessella.operators.noise import add_awgn_sigma_vector, add_awgn_snr_vectors
 from tessella.operators.patches import (
@@ -116,14 +115,3 @@ def color_rgb_images(
     )
     keys = ("image_id", "sigma")
     return reassemble(patch_pixels(restored, size, channels, keys), size, blend=blend, keys=keys)
-
-
-def output_snr_db(df: DataFrame, clean: str, other: str, *by: str) -> DataFrame:
-    """Mean per-row SNR of a vector column against its clean version: ``(*by, snr_db)``."""
-    mean = vec.total(F.col(clean)) / F.size(clean)
-    signal = F.aggregate(
-        F.transform(clean, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v
-    )
-    noise = vec.sum_squares(F.zip_with(clean, other, lambda a, b: b - a))
-    rows = df.select(*by, (F.lit(10.0) * F.log10(signal / noise)).alias("snr"))
-    return rows.groupBy(*by).agg(F.avg("snr").alias("snr_db"))
