@@ -20,6 +20,20 @@ LEAK_PATTERNS: tuple[tuple[str, str], ...] = (
     ("account-id-assignment", r"""(?i)\baccount[_-]?id\b\s*[:=]\s*["']?\d{12}\b"""),
 )
 
+# Literals (lower case) of which every match of a pattern contains at least one. Looking for them
+# first keeps most texts away from the regular expressions.
+LEAK_NEEDLES: dict[str, tuple[str, ...]] = {
+    "ecr-registry": (".dkr.ecr.",),
+    "codeartifact-url": (".d.codeartifact.",),
+    "internal-domain": (".internal", ".corp", ".a2z.com"),
+    "abs-home-path": ("/users/", "/home/"),
+    "abs-scratch-path": ("/scratch/",),
+    "aws-access-key": ("akia",),
+    "bearer-token": ("authorization", "bearer"),
+    "aws-arn-account": ("arn:aws",),
+    "account-id-assignment": ("account",),
+}
+
 # Made-up strings the patterns must catch and the scanner exempts.
 CANARIES: tuple[str, ...] = (
     "000000000000.dkr.ecr.us-west-1.amazonaws.com/example:tag",
@@ -78,11 +92,22 @@ def is_iso8601(value: Column) -> Column:
     return F.coalesce(value.rlike(_ISO_SHAPE) & real_day & in_range, F.lit(False))
 
 
+def matches_leak(text: Column, lowered: Column, pattern: str, needles: tuple[str, ...]) -> Column:
+    """``text`` matches ``pattern``; ``lowered`` is its lower case, searched for needles first."""
+    if not needles:
+        return text.rlike(pattern)
+    near = lowered.contains(needles[0])
+    for needle in needles[1:]:
+        near = near | lowered.contains(needle)
+    return near & text.rlike(pattern)
+
+
 def first_leak(line: Column) -> Column:
     """Name of the first matching pattern, or null."""
-    chain = F.when(line.rlike(LEAK_PATTERNS[0][1]), LEAK_PATTERNS[0][0])
-    for name, pattern in LEAK_PATTERNS[1:]:
-        chain = chain.when(line.rlike(pattern), name)
+    chain = None
+    for name, pattern in LEAK_PATTERNS:
+        hit = matches_leak(line, F.lower(line), pattern, LEAK_NEEDLES[name])
+        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return chain
 
 

@@ -67,9 +67,10 @@ def exact_percentiles(
 ) -> list[float | None]:
     """Exact linearly interpolated percentiles without one task holding all values.
 
-    Up to ``in_memory`` rows the built-in aggregate is used. Beyond that, each wanted order
-    statistic is bracketed by sketch quantiles and the bracket is narrowed, one aggregation per
-    round, until the distinct values inside fit; counts below the bracket keep the ranks exact.
+    Up to ``in_memory`` rows the built-in aggregate is used. Beyond that three passes usually
+    serve all quantiles together: a sketch brackets each one, the rows below and inside every
+    bracket are counted, and the distinct values inside are tallied. Ranks are counted, never
+    estimated, so the sketch decides only the cost; a bracket that is still too large is narrowed.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     n = values.count()
@@ -78,56 +79,77 @@ def exact_percentiles(
     if n <= in_memory:
         points = F.array(*[F.lit(float(q)) for q in quantiles])
         return list(values.agg(F.percentile("v", points)).first()[0])
-    found: dict[int, float] = {}
+    positions = [q * (n - 1) for q in quantiles]
+    ranks = sorted({r for p in positions for r in (math.floor(p), min(math.floor(p) + 1, n - 1))})
+    at_rank = _order_statistics(values, n, ranks, in_memory)
     results = []
-    for q in quantiles:
-        position = q * (n - 1)
-        base = math.floor(position)
-        ends = []
-        for rank in (base, min(base + 1, n - 1)):
-            if rank not in found:
-                found[rank] = _order_statistic(values, rank, in_memory)
-            ends.append(found[rank])
-        results.append(ends[0] + (position - base) * (ends[1] - ends[0]))
+    for p in positions:
+        low, high = math.floor(p), min(math.floor(p) + 1, n - 1)
+        results.append(at_rank[low] + (p - low) * (at_rank[high] - at_rank[low]))
     return results
 
 
-def _order_statistic(values: DataFrame, rank: int, in_memory: int) -> float:
-    """Value at zero-based ``rank`` of the sorted column ``v``."""
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    below = 0  # rows known to sort before ``low``
-    inside = values
-    while True:
-        size, distinct = inside.agg(F.count(F.lit(1)), F.approx_count_distinct("v")).first()
-        if low == high:
-            return low
-        if distinct <= in_memory:
-            seen = below
-            tallies = bounded_rows(inside.groupBy("v").count(), 2 * in_memory, "bracket values")
-            for value, count in sorted((r["v"], r["count"]) for r in tallies):
-                seen += count
-                if seen > rank:
-                    return value
-        target = (rank - below) / size
-        around = [max(target - 1e-3, 0.0), min(target + 1e-3, 1.0)]
-        lo, hi = inside.agg(
-            F.percentile_approx("v", F.array(*[F.lit(a) for a in around]), F.lit(100_000))
-        ).first()[0]
-        v = F.col("v")
-        before, at_lo, at_hi, upto = inside.agg(
-            F.count_if(v < lo), F.count_if(v == lo), F.count_if(v == hi), F.count_if(v <= hi)
-        ).first()
-        if below + before > rank:  # the sketch missed on one side; keep the exact remainder
-            inside, high = inside.filter(v < lo), lo
-        elif below + upto <= rank:
-            inside, low, below = inside.filter(v > hi), hi, below + upto
-        elif rank < below + before + at_lo:
-            return lo
-        elif rank >= below + upto - at_hi:
-            return hi
-        else:  # both ends are ruled out, so heavy values never survive a round
-            inside, low, high = inside.filter((v > lo) & (v < hi)), lo, hi
-            below += before + at_lo
+def _order_statistics(
+    values: DataFrame, n: int, ranks: Sequence[int], in_memory: int
+) -> dict[int, float]:
+    """Values of ``v`` at zero-based ranks of its sorted order, among ``n`` rows."""
+    v = F.col("v")
+    # The bracket is a few sketch errors wide.
+    accuracy, margin = 20_000, 2e-4
+    around = [min(max(r / n + d, 0.0), 1.0) for r in ranks for d in (-margin, margin)]
+    points = F.array(*[F.lit(a) for a in around])
+    sketch = values.agg(F.percentile_approx("v", points, F.lit(accuracy))).first()[0]
+    brackets = list(zip(sketch[::2], sketch[1::2], strict=True))
+    tallies = values.agg(
+        *[
+            count
+            for lo, hi in brackets
+            for count in (
+                F.count_if(v < lo),
+                F.count_if(v == lo),
+                F.count_if((v > lo) & (v < hi)),
+                F.count_if((v == hi) & (v > lo)),
+            )
+        ]
+    ).first()
+    found: dict[int, float] = {}
+    small: list[tuple[int, float, float, int]] = []
+    budget = in_memory
+    for k, (rank, (lo, hi)) in enumerate(zip(ranks, brackets, strict=True)):
+        below, at_lo, inside, at_hi = tallies[4 * k : 4 * k + 4]
+        start = below + at_lo
+        if below <= rank < start:
+            found[rank] = lo
+        elif start + inside <= rank < start + inside + at_hi:
+            found[rank] = hi
+        elif start <= rank < start + inside:
+            if inside <= budget:
+                budget -= inside
+                small.append((rank, lo, hi, start))
+            else:
+                part = values.filter((v > lo) & (v < hi))
+                found[rank] = _order_statistics(part, inside, [rank - start], in_memory)[rank - start]
+        elif rank < below:  # the sketch missed; what lies on that side is known exactly
+            found[rank] = _order_statistics(values.filter(v < lo), below, [rank], in_memory)[rank]
+        else:
+            skipped = start + inside + at_hi
+            part = values.filter(v > hi)
+            found[rank] = _order_statistics(part, n - skipped, [rank - skipped], in_memory)[rank - skipped]
+    if small:
+        wanted = F.lit(False)
+        for lo, hi in {(lo, hi) for _, lo, hi, _ in small}:
+            wanted = wanted | ((v > lo) & (v < hi))
+        rows = bounded_rows(values.filter(wanted).groupBy("v").count(), in_memory, "bracket values")
+        counted = sorted((r["v"], r["count"]) for r in rows)
+        for rank, lo, hi, start in small:
+            seen = start
+            for value, count in counted:
+                if lo < value < hi:
+                    seen += count
+                    if seen > rank:
+                        found[rank] = value
+                        break
+    return found
 
 
 def patch_power(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import CANARIES, LEAK_PATTERNS, first_leak, split_lines, strip_canaries
+from tessella.functions.text import (
+    CANARIES,
+    LEAK_NEEDLES,
+    LEAK_PATTERNS,
+    first_leak,
+    matches_leak,
+    split_lines,
+    strip_canaries,
+)
+
+# Name, expression, and optionally lower-case literals every match contains.
+Pattern = tuple[str, str] | tuple[str, str, tuple[str, ...]]
 
 # Suffixes treated as binary, the per-line exemption marker, private-note names.
 BINARY_SUFFIXES = (
@@ -33,17 +44,26 @@ def has_binary_suffix(path: Column) -> Column:
     return suffix.isin(*BINARY_SUFFIXES)
 
 
-def _worth_splitting(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+def _worth_splitting(text: Column, patterns: Sequence[tuple[str, str, tuple[str, ...]]]) -> Column:
     """Whether any line of a text can match; a superset of the texts with findings.
 
-    A line is changed only by removing a canary, so a text without canaries can be judged whole.
+    A line is changed only by removing a canary, and canaries contain needles themselves, so it
+    is enough to look for the needles of all patterns. The lambda binds the text and its lower
+    case once; a plain condition would have them computed again for every needle.
     """
-    hit = F.lit(False)
-    for _, pattern in patterns:
-        hit = hit | text.rlike(pattern)
-    for canary in CANARIES:
-        hit = hit | text.contains(canary)
-    return hit
+    needles = sorted({needle for _, _, group in patterns for needle in group})
+    unguarded = [pattern for _, pattern, group in patterns if not group]
+
+    def has_hit(parts: Column) -> Column:
+        hit = F.lit(False)
+        for needle in needles:
+            hit = hit | parts["lowered"].contains(needle)
+        for pattern in unguarded:
+            hit = hit | parts["raw"].rlike(pattern)
+        return hit
+
+    bound = F.array(F.struct(text.alias("raw"), F.lower(text).alias("lowered")))
+    return F.exists(bound, has_hit)
 
 
 def _line_bound(pattern: str) -> bool:
@@ -52,7 +72,7 @@ def _line_bound(pattern: str) -> bool:
 
 
 def scan_texts(
-    texts: DataFrame, extra_patterns: Sequence[tuple[str, str]] = ()
+    texts: DataFrame, extra_patterns: Sequence[Pattern] = ()
 ) -> DataFrame:
     """Findings ``(path, lineno, pattern, snippet)`` of a ``(path, text)`` table.
 
@@ -61,20 +81,28 @@ def scan_texts(
     read. Null texts (undecodable files) and binary suffixes are skipped. The scan is one narrow
     pass, so it runs unchanged on a stream, and only texts that can contain a finding are split.
     """
-    patterns = [*LEAK_PATTERNS, *extra_patterns]
+    patterns = [(name, pattern, LEAK_NEEDLES[name]) for name, pattern in LEAK_PATTERNS]
+    patterns += [(p[0], p[1], p[2] if len(p) > 2 else ()) for p in extra_patterns]
     forbidden = is_forbidden_path(F.col("path"))
     readable = ~has_binary_suffix(F.col("path"))
-    if not any(_line_bound(pattern) for _, pattern in extra_patterns):
+    if not any(_line_bound(pattern) for _, pattern, *_ in extra_patterns):
         readable = readable & _worth_splitting(F.col("text"), patterns)
     lines = F.when(forbidden, F.array(F.lit(""))).otherwise(split_lines(F.col("text")))
     numbered = texts.filter(forbidden | readable).select(
         "path", forbidden.alias("forbidden"), F.posexplode(lines).alias("pos", "line")
     )
-    probed = numbered.filter(~F.col("line").contains(EXEMPT_MARKER)).withColumn(
-        "probe", strip_canaries(F.col("line"))
+    probed = (
+        numbered.filter(~F.col("line").contains(EXEMPT_MARKER))
+        .withColumn("probe", strip_canaries(F.col("line")))
+        .withColumn("lowered", F.lower("probe"))
     )
     matched = F.filter(
-        F.array(*[F.when(F.col("probe").rlike(p), F.lit(name)) for name, p in patterns]),
+        F.array(
+            *[
+                F.when(matches_leak(F.col("probe"), F.col("lowered"), p, needles), F.lit(name))
+                for name, p, needles in patterns
+            ]
+        ),
         lambda name: name.isNotNull(),
     )
     snippet = F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, SNIPPET_LENGTH)

@@ -46,36 +46,52 @@ def add_awgn_snr(
     return df.withColumn("sigma", sigma).withColumn(out, F.col(column) + F.col("sigma") * noise)
 
 
-def add_awgn_snr_vectors(
-    df: DataFrame, column: str, snr_db: float, seed: int, *key: str, by: Sequence[str] = ()
-) -> DataFrame:
-    """Calibrated noise on a vector column of equal-length rows: adds ``sigma`` and ``noisy``.
+def vector_variance(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Population variance over all entries of equal-length vectors: ``(*by, variance)``.
 
-    The signal variance over all entries is the mean of the row variances plus the variance of
-    the row means, so entries are never unfolded. ``by`` calibrates each group on its own.
+    It is the mean of the row variances plus the variance of the row means, so entries are never
+    unfolded and a large mean does not cancel.
     """
     values = F.col(column)
     mean = vec.total(values) / F.size(values)
-    spread = F.aggregate(
-        F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v
-    ) / F.size(values)
-    variance = F.avg("spread") + F.var_pop("mean")
-    totals = (
-        df.select(*by, mean.alias("mean"), spread.alias("spread"))
-        .groupBy(*by)
-        .agg(variance.alias("variance"))
-    )
+    spread = vec.sum_squares(F.transform(values, lambda v: v - mean)) / F.size(values)
+    rows = df.select(*by, mean.alias("mean"), spread.alias("spread"))
+    return rows.groupBy(*by).agg((F.avg("spread") + F.var_pop("mean")).alias("variance"))
+
+
+def add_awgn_snr_vectors(
+    df: DataFrame,
+    column: str,
+    snr_db: float | Sequence[float],
+    seed: int,
+    *key: str,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Calibrated noise on a vector column: adds ``snr_db``, ``sigma`` and ``noisy``.
+
+    ``by`` calibrates each group on its own. Several levels give one output row per level; they
+    share one calibration pass and one draw per entry, scaled to each level.
+    """
+    levels = [snr_db] if isinstance(snr_db, (int, float)) else list(snr_db)
+    variance = vector_variance(df, column, by)
     message = F.lit("target SNR is undefined for a constant signal")
-    level = F.when(F.col("variance") == 0, F.raise_error(message)).otherwise(
-        F.sqrt(F.col("variance") / F.lit(10.0 ** (snr_db / 10.0)))
+    usable = F.when(F.col("variance") == 0, F.raise_error(message).cast("double")).otherwise(
+        F.col("variance")
     )
-    levels = totals.select(*by, level.cast("double").alias("sigma"))
-    leveled = df.join(levels, list(by)) if by else df.withColumn("sigma", levels.scalar())
+    checked = variance.select(*by, usable.alias("variance"))
+    if by:
+        calibrated = df.join(checked, list(by))
+    else:
+        calibrated = df.withColumn("variance", checked.scalar())
     columns = [F.col(k) for k in key]
-    noisy = F.transform(
-        values, lambda v, i: v + F.col("sigma") * keyed_normal(F.lit(str(seed)), *columns, i)
+    draws = F.transform(
+        F.col(column), lambda _, i: keyed_normal(F.lit(str(seed)), *columns, i)
     )
-    return leveled.withColumn("noisy", noisy)
+    steps = F.array(*[F.struct(F.lit(float(db)).alias("snr_db"), F.lit(10.0 ** (db / 10.0)).alias("r")) for db in levels])
+    leveled = calibrated.withColumn("draws", draws).select("*", F.inline(steps))
+    leveled = leveled.withColumn("sigma", F.sqrt(F.col("variance") / F.col("r")))
+    noisy = F.zip_with(column, "draws", lambda v, z: v + F.col("sigma") * z)
+    return leveled.withColumn("noisy", noisy).drop("variance", "draws", "r")
 
 
 def state_noise(keys: DataFrame, sigma: float, seed: int, *key: str) -> DataFrame:

@@ -26,7 +26,7 @@ _MIXED = pop.MixedCode(n_place=UNITS, n_periodic=6, frequency=3, width=PLACE_WID
 
 
 def _located(spark: SparkSession, directory: str) -> DataFrame:
-    return read_table(spark, directory, "events", "event_id", "ts").select("event_id", day_fraction().alias("x"))
+    return read_table(spark, directory, "events", "event_id", "ts", spread=True).select("event_id", day_fraction().alias("x"))
 
 
 def place_code(spark: SparkSession, directory: str) -> DataFrame:
@@ -108,7 +108,7 @@ _GABOR = {
 
 
 def gabor(spark: SparkSession, directory: str) -> DataFrame:
-    bank = gabor_bank(derive(read_table(spark, directory, "part"), _GABOR), "p_partkey", 5, 6)
+    bank = gabor_bank(derive(read_table(spark, directory, "part", spread=True), _GABOR), "p_partkey", 5, 6)
     return bank.withColumn("g", r6(F.col("g")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.keyed import keyed_normal
-from tessella.operators import inference, moments, sparse
+from tessella.operators import inference, sparse
 from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql
 from tessella.session import bounded_matrix, r6
 

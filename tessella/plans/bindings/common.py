@@ -40,11 +40,13 @@ def derive_sql(source: str, columns: Mapping[str, str]) -> str:
     return f"SELECT {listed} FROM {source}"
 
 
-def embeddings(spark: SparkSession, directory: str, length: int = 64) -> DataFrame:
+def embeddings(
+    spark: SparkSession, directory: str, length: int = 64, *, spread: bool = False
+) -> DataFrame:
     """``(vec_id, label, role, f)``: labels below 7 train, below 9 val, the rest test."""
     values = doubles(F.col("embedding"))
     role = F.when(F.col("label") < 7, "train").when(F.col("label") < 9, "val").otherwise("test")
-    return read_table(spark, directory, "embeddings").select(
+    return read_table(spark, directory, "embeddings", spread=spread).select(
         "vec_id", "label", role.alias("role"), (F.slice(values, 1, length) if length < 64 else values).alias("f")
     )
 

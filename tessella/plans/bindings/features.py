@@ -44,7 +44,7 @@ _FEATURES = (
 
 def srgb(spark: SparkSession, directory: str) -> DataFrame:
     """Entries mapped into [0, 1], decoded to linear light and encoded again."""
-    unit = embeddings(spark, directory).select("vec_id", F.posexplode("f").alias("i", "x"))
+    unit = embeddings(spark, directory, spread=True).select("vec_id", F.posexplode("f").alias("i", "x"))
     unit = unit.select("vec_id", "i", ((F.col("x") + 1) / 2).alias("x"))
     # Shrinking reaches the straight part of the curve as well.
     shrunk = unit.withColumn("x", F.when(F.col("i") % 2 == 0, F.col("x") * 0.05).otherwise(F.col("x")))
@@ -133,7 +133,7 @@ SELECT vec_id, i, {r6_sql("v / scale")} AS v, {r6_sql("scale")} AS scale FROM e,
 
 
 def row_rms(spark: SparkSession, directory: str) -> DataFrame:
-    normalized = features.per_row_normalize(embeddings(spark, directory), "f")
+    normalized = features.per_row_normalize(embeddings(spark, directory, spread=True), "f")
     return entries(normalized, "f", "vec_id", "scale").withColumn("scale", r6(F.col("scale")))
 
 
@@ -226,7 +226,7 @@ FROM events, (VALUES (0.0::DOUBLE), (3.0::DOUBLE), (6.0::DOUBLE)) t(db) GROUP BY
 
 
 def _noisy_events(spark: SparkSession, directory: str) -> DataFrame:
-    events = read_table(spark, directory, "events", "event_id", "value")
+    events = read_table(spark, directory, "events", "event_id", "value", spread=True)
     return noise.add_awgn_snr(events, "value", 3.0, 11, "event_id")
 
 
@@ -248,7 +248,7 @@ _NOISY = (
 
 def awgn_vectors(spark: SparkSession, directory: str) -> DataFrame:
     """Per-role calibrated noise on embedding vectors."""
-    e = embeddings(spark, directory)
+    e = embeddings(spark, directory, spread=True)
     noisy = noise.add_awgn_snr_vectors(e, "f", 6.0, 5, "vec_id", by=("role",))
     return entries(noisy, "noisy", "vec_id", "sigma").withColumn("sigma", r6(F.col("sigma")))
 
@@ -417,7 +417,7 @@ UNION ALL SELECT 'whitening_before_after', 'before.max', {r6_sql("max(v)")} FROM
 
 def noise_scopes(spark: SparkSession, directory: str) -> DataFrame:
     """Users as trajectories, events as steps, one edge per event type and hour."""
-    edges = read_table(spark, directory, "events").select(
+    edges = read_table(spark, directory, "events", spread=True).select(
         F.col("user_id").alias("trajectory"),
         F.col("event_id").alias("step"),
         F.ascii("event_type").alias("src"),

@@ -122,15 +122,22 @@ WHERE label NOT IN (SELECT regexp_extract(url, '^https?://([a-z]+)', 1) FROM pag
 """
 
 # Assignments of long hexadecimal strings occur in the texts; the built-in patterns do not.
-_EXTRA = (("token-assignment", r"(?i)\b(?:token|secret|password|api_key)\b\s*[:=]\s*\S+"), ("e-mail", r"[a-z0-9.]+@[a-z0-9-]+\.[a-z]{2,}"))
+_EXTRA = (
+    (
+        "token-assignment",
+        r"(?i)\b(?:token|secret|password|api_key)\b\s*[:=]\s*\S+",
+        ("token", "secret", "password", "api_key"),
+    ),
+    ("e-mail", r"[a-z0-9.]+@[a-z0-9-]+\.[a-z]{2,}", ("@",)),
+)
 
 
 def _corpus(spark: SparkSession, directory: str) -> DataFrame:
     return union_all(
         [
-            read_table(spark, directory, "documents").selectExpr("'documents/' || doc_id AS path", "text"),
-            read_table(spark, directory, "pages").selectExpr("'pages/' || page_id AS path", "html AS text"),
-            read_table(spark, directory, "conversations").selectExpr(
+            read_table(spark, directory, "documents", spread=True).selectExpr("'documents/' || doc_id AS path", "text"),
+            read_table(spark, directory, "pages", spread=True).selectExpr("'pages/' || page_id AS path", "html AS text"),
+            read_table(spark, directory, "conversations", spread=True).selectExpr(
                 "'conversations/' || conv_id || '/' || turn AS path", "text"
             ),
         ]
@@ -152,7 +159,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _scan_sql(corpus: str, extra: tuple[tuple[str, str], ...]) -> str:
+def _scan_sql(corpus: str, extra: tuple[tuple[str, str, tuple[str, ...]], ...]) -> str:
     stripped = "line"
     for canary in CANARIES:
         stripped = f"replace({stripped}, {_quoted(canary)}, '')"
@@ -160,7 +167,7 @@ def _scan_sql(corpus: str, extra: tuple[tuple[str, str], ...]) -> str:
     breaks = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
     matches = " UNION ALL ".join(
         f"SELECT path, lineno, {_quoted(n)} AS pattern, line FROM probes WHERE regexp_matches(probe, {_quoted(p)})"
-        for n, p in (*LEAK_PATTERNS, *extra)
+        for n, p, *_ in (*LEAK_PATTERNS, *extra)
     )
 
     return f"""
@@ -198,7 +205,7 @@ _PLANTED = {
 
 
 def leak_scan_planted(spark: SparkSession, directory: str) -> DataFrame:
-    return scan_texts(derive(read_table(spark, directory, "orders"), _PLANTED))
+    return scan_texts(derive(read_table(spark, directory, "orders", spread=True), _PLANTED))
 
 
 # Event properties under a closed schema, with faults planted by event number.
@@ -229,7 +236,7 @@ _PROPS_SCHEMA = {
 
 
 def record_schema_check(spark: SparkSession, directory: str) -> DataFrame:
-    records = derive(read_table(spark, directory, "events"), _PROPS)
+    records = derive(read_table(spark, directory, "events", spread=True), _PROPS)
     return validate_records(records, "event_id", "json", _PROPS_SCHEMA).select("key", "rule", "label")
 
 
@@ -276,7 +283,7 @@ _ENV_JSON = (
 
 
 def environment_records(spark: SparkSession, directory: str) -> DataFrame:
-    payloads = derive(read_table(spark, directory, "events"), _ENV)
+    payloads = derive(read_table(spark, directory, "events", spread=True), _ENV)
     records = derive(payloads, {"event_id": "event_id", "json": _ENV_JSON})
     return validate_environment_records(records, "event_id", "json").select("key", "rule", "label")
 
@@ -328,7 +335,7 @@ def _artifact_json(a: Column, b: Column, c: Column, n: Column) -> Column:
 
 
 def whitening_artifacts(spark: SparkSession, directory: str) -> DataFrame:
-    e = embeddings(spark, directory)
+    e = embeddings(spark, directory, spread=True)
     entry = lambda k: F.get("f", k)
     records = e.select(
         "vec_id",

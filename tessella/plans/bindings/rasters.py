@@ -108,7 +108,7 @@ FROM (SELECT DISTINCT image_id FROM ras) LEFT JOIN k USING (image_id) GROUP BY i
 
 
 def _square_images(spark: SparkSession, directory: str, length: int, side: int, channels: int) -> DataFrame:
-    return embeddings(spark, directory, length).select(
+    return embeddings(spark, directory, length, spread=True).select(
         F.col("vec_id").alias("image_id"),
         "role",
         F.lit(side).alias("height"),
@@ -172,13 +172,13 @@ FROM b JOIN e USING (vec_id) WHERE i // 8 BETWEEN top AND top + 3 AND i % 8 BETW
 def augmented(spark: SparkSession, directory: str) -> DataFrame:
     """Each embedding as an 8x8 patch under the operation its key picks."""
     names = F.array(*[F.lit(name) for name in AUGMENTATIONS])
-    e = embeddings(spark, directory).withColumn("aug", F.get(names, (F.col("vec_id") % 8).cast("int")))
+    e = embeddings(spark, directory, spread=True).withColumn("aug", F.get(names, (F.col("vec_id") % 8).cast("int")))
     return entries(e.select("vec_id", "aug", augment(F.col("f"), F.col("aug"), 8, 1).alias("f")), "f", "vec_id", "aug", index="pos")
 
 
 def augmented_pixels(spark: SparkSession, directory: str) -> DataFrame:
     """The same operations on long-form pixels, for every operation at once."""
-    pixels = embeddings(spark, directory).select("vec_id", F.posexplode("f").alias("i", "v"))
+    pixels = embeddings(spark, directory, spread=True).select("vec_id", F.posexplode("f").alias("i", "v"))
     y, x = F.floor(F.col("i") / 8).cast("int"), F.col("i") % 8
     moved = [
         F.struct(F.lit(name).alias("aug"), (p[0] * 8 + p[1]).cast("int").alias("pos"))

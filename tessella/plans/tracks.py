@@ -21,7 +21,6 @@ from tessella.plans.representation import (
     apply_representation,
     fit_representation,
 )
-from tessella.session import union_all
 
 # Fixed values of the track configurations.
 WHITENED_PATCHES = PatchConfig(size=16, stride=8, n_random=256, border=0, augment=True)
@@ -55,17 +54,11 @@ def color_whitened(
         "role",
         apply_representation(F.col("values"), fitted).alias("clean"),
     )
-    levels = []
-    for level in snr_db:
-        noisy = add_awgn_snr_vectors(
-            clean, "clean", level, seed, "image_id", "patch_index", by=("role",)
-        )
-        levels.append(
-            noisy.select(
-                "image_id", "patch_index", "role", F.lit(float(level)).alias("snr_db"), "sigma", "clean", "noisy"
-            )
-        )
-    return fitted, union_all(levels)
+    noisy = add_awgn_snr_vectors(
+        clean, "clean", snr_db, seed, "image_id", "patch_index", by=("role",)
+    )
+    columns = ["image_id", "patch_index", "role", "snr_db", "sigma", "clean", "noisy"]
+    return fitted, noisy.select(*columns)
 
 
 def color_rgb_patches(

@@ -51,9 +51,19 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_table(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+def read_table(
+    spark: SparkSession, directory: str, name: str, *columns: str, spread: bool = False
+) -> DataFrame:
+    """Read one table; ``spread`` is for costly row-wise work on tables of few, small files."""
     df = spark.read.parquet(f"{directory}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread_small(df) if spread else df
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a file scan with fewer splits than cores; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -82,16 +92,19 @@ def bounded_matrix(
 ) -> np.ndarray:
     """Load a sparse-matrix table ``(row, col, value)`` as a dense array.
 
-    The extents are checked first, so only a matrix within the model size bound is collected.
+    At most the model size bound is read, and the extents are checked before the array is made.
     """
-    n_rows, n_cols = df.agg(F.max(row) + 1, F.max(col) + 1).first()
-    if n_rows is None:
+    entries = df.select(row, col, value).limit(max_cells + 1).toArrow()
+    if entries.num_rows > max_cells:
+        raise SizeBoundError(f"matrix table exceeds the model bound of {max_cells} cells")
+    if entries.num_rows == 0:
         raise ValueError("empty matrix table")
+    at_row, at_col, values = (c.to_numpy() for c in entries.columns)
+    n_rows, n_cols = int(at_row.max()) + 1, int(at_col.max()) + 1
     if n_rows * n_cols > max_cells:
         raise SizeBoundError(f"{n_rows}x{n_cols} matrix exceeds the model bound of {max_cells} cells")
     dense = np.zeros((n_rows, n_cols))
-    for r in bounded_rows(df.select(row, col, value), n_rows * n_cols, "matrix table"):
-        dense[r[0], r[1]] = r[2]
+    dense[at_row, at_col] = values
     return dense
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessella.operators.leakscan import scan_texts
+from tessella.operators.leakscan import Pattern, scan_texts
 from tessella.plans.representation import FittedRepresentation, apply_representation
 
 
@@ -20,7 +20,7 @@ def represent_stream(
 
 
 def scan_stream(
-    texts: DataFrame, extra_patterns: Sequence[tuple[str, str]] = ()
+    texts: DataFrame, extra_patterns: Sequence[Pattern] = ()
 ) -> DataFrame:
     """Leak findings of arriving texts ``(path, text)``."""
     return scan_texts(texts, extra_patterns)
