@@ -45,7 +45,7 @@ def channel_histograms(
 
     Empty bins are present with a zero count: the grid is generated, not joined from data.
     """
-    values = df.select(F.posexplode(column).alias("pos", "v"))
+    values = df.select(F.posexplode_outer(column).alias("pos", "v"))
     binned = values.select(
         (F.col("pos") % channels).alias("c"), _bin(F.col("v"), bins, low, high).alias("bin")
     ).filter(F.col("bin").isNotNull())
@@ -165,7 +165,7 @@ def patch_power(df: DataFrame, column: str) -> DataFrame:
 
 def value_moments(df: DataFrame, column: str) -> DataFrame:
     """Tall ``(key, value)``: mean, population deviation, min and max over all vector entries."""
-    values = df.select(F.explode(column).alias("v"))
+    values = df.select(F.explode_outer(column).alias("v"))
     stats = values.agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )

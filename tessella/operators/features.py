@@ -39,18 +39,17 @@ def global_rms(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def positive_scale(scale: Column) -> Column:
-    bad = scale.isNull() | F.isnan(scale) | ~(scale > 0)
-    message = "normalization scale must be a positive real number"
-    return F.when(bad, F.raise_error(F.lit(message))).otherwise(scale)
-
-
 def global_normalize(df: DataFrame, column: str, scale: float | None = None) -> DataFrame:
     """Divide a vector column by one table-wide scale (its own RMS unless given)."""
     if scale is not None and not scale > 0.0:
         raise ValueError(f"normalization scale must be a positive real number, got {scale!r}")
-    value = F.lit(scale) if scale is not None else global_rms(df, column).scalar()
-    return df.withColumn("scale", positive_scale(value)).withColumn(
+    value = F.lit(scale)
+    if scale is None:
+        message = F.lit("normalization scale must be a positive real number")
+        bad = F.col("scale").isNull() | F.isnan("scale") | ~(F.col("scale") > 0)
+        checked = F.when(bad, F.raise_error(message).cast("double")).otherwise(F.col("scale"))
+        value = global_rms(df, column).select(checked.alias("scale")).scalar()
+    return df.withColumn("scale", value).withColumn(
         column, vec.scale_by(F.col(column), F.col("scale"))
     )
 

@@ -40,23 +40,26 @@ def list_column(block: np.ndarray) -> pa.ListArray:
 
 
 def block_function(kernel: Kernel, *columns: Column) -> Column:
-    """Run ``kernel(*blocks) -> block`` on whole Arrow batches of vector columns."""
+    """Run ``kernel(*blocks) -> block`` on whole Arrow batches of vector columns.
+
+    Chained kernels are fused into one Python evaluation. A filter on a result, or an ``explode``
+    of it (which implies one), is pushed below and runs the kernel twice; ``explode_outer`` on
+    these never-empty vectors avoids that.
+    """
 
-    @F.arrow_udf("array<double>")
     def run(*arrays: pa.Array) -> pa.Array:
         return list_column(kernel(*[dense_block(a) for a in arrays]))
 
-    return run(*columns)
+    return F.arrow_udf(run, "array<double>")(*columns)
 
 
 def row_function(kernel: Kernel, *columns: Column) -> Column:
     """Run ``kernel(*blocks) -> vector`` giving one double per row."""
 
-    @F.arrow_udf("double")
     def run(*arrays: pa.Array) -> pa.Array:
         return pa.array(kernel(*[dense_block(a) for a in arrays]), pa.float64())
 
-    return run(*columns)
+    return F.arrow_udf(run, "double")(*columns)
 
 
 def affine(column: Column, matrix: np.ndarray, offset: np.ndarray | None = None) -> Column:

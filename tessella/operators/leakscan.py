@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import (
-    CANARIES,
     LEAK_NEEDLES,
     LEAK_PATTERNS,
     first_leak,

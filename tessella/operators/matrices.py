@@ -30,6 +30,19 @@ def antisymmetric_part(edges: DataFrame) -> DataFrame:
     return _half_mirror(edges, -1.0)
 
 
+def split_parts(edges: DataFrame) -> DataFrame:
+    """Both parts in one pass: ``(src, dst, s, a)``."""
+    half = F.col("w") * 0.5
+    mirrored = F.inline(
+        F.array(
+            F.struct(F.col("src"), F.col("dst"), half.alias("s"), half.alias("a")),
+            F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), half.alias("s"), (-half).alias("a")),
+        )
+    )
+    sums = edges.select(mirrored).groupBy("src", "dst")
+    return sums.agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
+
+
 def effective_weight(
     base: DataFrame,
     transport: DataFrame | Sequence[DataFrame],

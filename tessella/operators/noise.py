@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as vec
 from tessella.functions.keyed import keyed_normal, keyed_uniform
 from tessella.operators.features import sigma_for_snr
+from tessella.session import broadcast_if_small
 
 SCOPES = ("per_step", "per_trajectory", "fixed")
 
@@ -80,7 +81,7 @@ def add_awgn_snr_vectors(
     )
     checked = variance.select(*by, usable.alias("variance"))
     if by:
-        calibrated = df.join(checked, list(by))
+        calibrated = df.join(broadcast_if_small(checked), list(by))
     else:
         calibrated = df.withColumn("variance", checked.scalar())
     columns = [F.col(k) for k in key]

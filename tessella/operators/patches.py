@@ -123,7 +123,7 @@ def patch_pixels(
     patches: DataFrame, size: int, channels: int, keys: Sequence[str] = ("image_id",)
 ) -> DataFrame:
     """Unfold array-form patches into ``(*keys, top, left, dy, dx, c, v)``."""
-    long = patches.select(*keys, "top", "left", F.posexplode("values").alias("pos", "v"))
+    long = patches.select(*keys, "top", "left", F.posexplode_outer("values").alias("pos", "v"))
     cell = _whole(F.col("pos") / channels)
     return long.select(
         *keys,
@@ -288,8 +288,13 @@ def _random_patches_pcg64(
     size, border = config.size, config.border
     names = AUGMENTATIONS
 
+    kept = [f for f in images.schema.fields if f.name != "values"]
+    added = "patch_index int, top int, left int, aug string, values array<double>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
+
     def crops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            types = {f.name: f.type for f in batch.schema if f.name != "values"}
             for row in batch.to_pylist():
                 h, w, c = row["height"], row["width"], row["channels"]
                 if min(h, w) < size + 2 * border:
@@ -305,24 +310,17 @@ def _random_patches_pcg64(
                     name = names[int(gen.integers(0, len(names)))] if config.augment else names[0]
                     window = raster[top : top + size, left : left + size]
                     out.append((k, top, left, name, _turn(window, name).ravel()))
-                if out:
-                    index, tops, lefts, chosen, values = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["image_id"]] * len(out), pa.string()),
-                            pa.array(index, pa.int32()),
-                            pa.array(tops, pa.int32()),
-                            pa.array(lefts, pa.int32()),
-                            pa.array(chosen, pa.string()),
-                            pa.array(list(values), pa.list_(pa.float64())),
-                        ],
-                        names=["image_id", "patch_index", "top", "left", "aug", "values"],
-                    )
-
-    source = images.select(
-        F.col("image_id").cast("string").alias("image_id"), "height", "width", "channels", "values"
-    )
-    return source.mapInArrow(
-        crops,
-        "image_id string, patch_index int, top int, left int, aug string, values array<double>",
-    )
+                if not out:
+                    continue
+                index, tops, lefts, chosen, values = zip(*out, strict=True)
+                columns = {n: pa.array([row[n]] * len(out), t) for n, t in types.items()}
+                columns |= {
+                    "patch_index": pa.array(index, pa.int32()),
+                    "top": pa.array(tops, pa.int32()),
+                    "left": pa.array(lefts, pa.int32()),
+                    "aug": pa.array(chosen, pa.string()),
+                    "values": pa.array(list(values), pa.list_(pa.float64())),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return images.select(*[f.name for f in kept], "values").mapInArrow(crops, schema)

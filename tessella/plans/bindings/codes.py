@@ -19,7 +19,7 @@ from tessella.plans.bindings.common import (
     entries,
     r6_sql,
 )
-from tessella.session import r6, read_table
+from tessella.session import r6, read_table, reliable_checkpoint
 
 UNITS, PLACE_WIDTH, RING_WIDTH = 12, 0.08, 0.1
 _MIXED = pop.MixedCode(n_place=UNITS, n_periodic=6, frequency=3, width=PLACE_WIDTH)
@@ -151,16 +151,12 @@ _HALVES = (
 
 
 def sym_antisym(spark: SparkSession, directory: str) -> DataFrame:
-    edges = _flow(spark, directory)
-    symmetric = matrices.symmetric_part(edges).withColumnRenamed("w", "s")
-    antisymmetric = matrices.antisymmetric_part(edges).withColumnRenamed("w", "a")
-    return symmetric.join(antisymmetric, ["src", "dst"]).select(
-        "src", "dst", r6(F.col("s")).alias("s"), r6(F.col("a")).alias("a")
-    )
+    parts = matrices.split_parts(_flow(spark, directory))
+    return parts.select("src", "dst", r6(F.col("s")).alias("s"), r6(F.col("a")).alias("a"))
 
 
 def effective_weight(spark: SparkSession, directory: str) -> DataFrame:
-    edges = _flow(spark, directory)
+    edges = reliable_checkpoint(_flow(spark, directory))  # small, and read three times
     transport = matrices.antisymmetric_part(edges)
     second = transport.select("src", "dst", (F.col("w") * F.col("w")).alias("w"))
     total = matrices.effective_weight(
@@ -171,7 +167,7 @@ def effective_weight(spark: SparkSession, directory: str) -> DataFrame:
 
 def effective_weight_by_direction(spark: SparkSession, directory: str) -> DataFrame:
     """The same with both directions in one table."""
-    edges = _flow(spark, directory)
+    edges = reliable_checkpoint(_flow(spark, directory))  # small, and read three times
     transport = matrices.antisymmetric_part(edges)
     both = F.array(
         F.struct(F.lit(1).alias("d"), F.col("w").alias("w")),

@@ -60,7 +60,7 @@ LONG = (
 
 def entries(df: DataFrame, column: str, *keep: str, index: str = "i", value: str = "v") -> DataFrame:
     """Unfold a vector column, rounded for comparison."""
-    return df.select(*keep, F.posexplode(column).alias(index, value)).withColumn(value, r6(F.col(value)))
+    return df.select(*keep, F.posexplode_outer(column).alias(index, value)).withColumn(value, r6(F.col(value)))
 
 
 def r6_sql(expression: str, digits: int = 6) -> str:

@@ -175,7 +175,7 @@ def whiten_check(spark: SparkSession, directory: str) -> DataFrame:
     stats = fit_whitening(train, "f", width=64)
     residual = covariance_residual(train, "f", stats)
     whitened = train.select(apply_whitening(F.col("f"), stats).alias("w"))
-    means = whitened.select(F.posexplode("w").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    means = whitened.select(F.posexplode_outer("w").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
     return means.agg(
         (F.max(F.abs("m")) < 1e-9).alias("zero_mean"),
         F.lit(residual["max_abs_off_identity"] < 0.01).alias("near_identity"),

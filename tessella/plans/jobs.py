@@ -86,8 +86,6 @@ def audit_images(
 ) -> dict[str, object]:
     """Audit array-form images whose ``role`` is train or test; statistics are fitted on train."""
     crops = random_patches(images, patches, dataset=dataset_sha256, seed=seed, rng=rng)
-    if "role" not in crops.columns:
-        crops = crops.join(images.select(F.col("image_id").cast("string"), "role"), "image_id")
     features = crops.select(
         F.concat_ws("|", "image_id", F.lpad(F.col("patch_index").cast("string"), 6, "0")).alias("key"),
         "role",

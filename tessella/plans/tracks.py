@@ -45,8 +45,6 @@ def color_whitened(
     ``(image_id, patch_index, role, snr_db, sigma, clean, noisy)``; noise is calibrated per role.
     """
     crops = random_patches(images, patches, dataset=dataset, seed=seed, rng=rng)
-    if "role" not in crops.columns:
-        crops = crops.join(images.select(F.col("image_id").cast("string"), "role"), "image_id")
     fitted = fit_representation(crops, "values", eps=eps)
     clean = crops.select(
         "image_id",

@@ -87,6 +87,19 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 4096) -> DataFrame:
+    """A few rows per group to join back onto a large table.
+
+    Plan-time estimates of an aggregate follow its input, so the large side would be shuffled on
+    a handful of keys. The rows are counted instead: up to ``max_rows`` they are broadcast, and
+    beyond that the table is joined as it is.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def bounded_matrix(
     df: DataFrame, row: str, col: str, value: str, *, max_cells: int = MAX_MODEL_CELLS
 ) -> np.ndarray:

@@ -1,8 +1,8 @@
 from conftest import pairs
+from pyspark.sql import functions as F
 
-from tessella.functions.text import CANARIES, first_leak, split_lines
+from tessella.functions.text import CANARIES, LEAK_NEEDLES, LEAK_PATTERNS, first_leak, split_lines
 from tessella.operators.leakscan import canaries_all_detected, scan_texts
-from pyspark.sql import functions as F
 
 
 def scan(spark, *texts, **kw):
@@ -16,6 +16,13 @@ def test_every_canary_is_caught_and_exempt(spark):
     assert scan(spark, ("a.txt", "\n".join(CANARIES))) == []
 
 
+def test_every_canary_carries_a_needle():
+    """The prefilter relies on it: removing a canary can only matter in a text with a needle."""
+    needles = [needle for group in LEAK_NEEDLES.values() for needle in group]
+    assert set(LEAK_NEEDLES) == {name for name, _ in LEAK_PATTERNS}
+    assert all(any(n in canary.lower() for n in needles) for canary in CANARIES)
+
+
 def test_innocuous_lines(spark):
     lines = ["build 123456789012 done", "see https://example.com/internal", "home is /usr/lib/x/", "bearer of news"]
     assert scan(spark, ("a.txt", "\n".join(lines))) == []

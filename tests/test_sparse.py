@@ -221,6 +221,9 @@ def test_edge_tables(spark):
     np.testing.assert_allclose(dense(s, 5) + dense(a, 5), w, atol=1e-15)
     np.testing.assert_array_equal(dense(s, 5), dense(s, 5).T)
     np.testing.assert_array_equal(dense(a, 5), -dense(a, 5).T)
+    both = matrices.split_parts(edge_frame(spark, w))
+    np.testing.assert_array_equal(dense(both.select("src", "dst", both["s"].alias("w")), 5), dense(s, 5))
+    np.testing.assert_array_equal(dense(both.select("src", "dst", both["a"].alias("w")), 5), dense(a, 5))
     total = matrices.effective_weight(edge_frame(spark, w), [edge_frame(spark, v), a], [0.5, -2.0], alpha=3.0)
     np.testing.assert_allclose(dense(total, 5), w + 3 * (0.5 * v - 2 * dense(a, 5)), atol=1e-12)
     with pytest.raises(ValueError):
