@@ -39,7 +39,10 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Make this package importable by Python workers, once per application."""
+    """Make this package importable by Python workers, once per application.
+
+    The archive is read on the driver only; Spark hands it to the executors.
+    """
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
