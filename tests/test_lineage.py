@@ -13,8 +13,8 @@ def rules(report):
 def world(spark, drop=(), change=None, extra=()):
     """One source with three targets, one byte-identical copy, all consistent."""
     entries = [
-        ("thesis.tex", "main.tex", TRANSLATED, "s1", "t1"),
-        ("thesis.tex", "pre/a.tex", TRANSLATED, "s1", "t2"),
+        ("book.tex", "main.tex", TRANSLATED, "s1", "t1"),
+        ("book.tex", "pre/a.tex", TRANSLATED, "s1", "t2"),
         ("refs.bib", "refs.bib", COPY, "s2", "s2"),
     ]
     rows = [
@@ -36,7 +36,7 @@ def world(spark, drop=(), change=None, extra=()):
         "order": "pos",
         "derived": spark.createDataFrame([(t,) for t, _ in tree], "rel string"),
         "targets": spark.createDataFrame(tree, "rel string, sha256 string"),
-        "sources": spark.createDataFrame([("thesis.tex", "s1"), ("refs.bib", "s2")], "rel string, sha256 string"),
+        "sources": spark.createDataFrame([("book.tex", "s1"), ("refs.bib", "s2")], "rel string, sha256 string"),
     }
 
 
@@ -48,15 +48,15 @@ def test_dropping_target_and_row_together_is_found_by_the_fanout(spark):
     state = world(spark, drop=("pre/a.tex",))
     assert lineage.check_file_map(**state).isEmpty()
     expected = spark.createDataFrame(
-        [("thesis.tex", "main.tex", TRANSLATED), ("thesis.tex", "pre/a.tex", TRANSLATED), ("refs.bib", "refs.bib", COPY)],
+        [("book.tex", "main.tex", TRANSLATED), ("book.tex", "pre/a.tex", TRANSLATED), ("refs.bib", "refs.bib", COPY)],
         TUPLES,
     )
     declared = state["file_map"].selectExpr("source_2026_file AS source", "dissertation_file AS target", "derivation")
     report = lineage.check_fanout(expected, declared, state["sources"].select("rel"), state["targets"].select("rel"))
-    assert rules(report) == [("missing_target", "pre/a.tex"), ("missing_tuple", "thesis.tex -> pre/a.tex")]
+    assert rules(report) == [("missing_target", "pre/a.tex"), ("missing_tuple", "book.tex -> pre/a.tex")]
     extra = declared.union(spark.createDataFrame([("x", "y", COPY)], TUPLES))
     report = lineage.check_fanout(expected, extra, spark.createDataFrame([("refs.bib",)], "rel string"), state["targets"].select("rel"))
-    assert ("extra_tuple", "x -> y") in rules(report) and ("missing_source", "thesis.tex") in rules(report)
+    assert ("extra_tuple", "x -> y") in rules(report) and ("missing_source", "book.tex") in rules(report)
 
 
 def test_file_map_mutations(spark):
