@@ -69,16 +69,28 @@ def spread_small(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster configures.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only when neither the session nor the context names one.
+    Only a local master, whose tasks share the driver's disk, may go without that setting; a
+    cluster without a shared folder is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    folder = checkpoint_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
