@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and the SQL that states the same results."""
 
-from tessella.llm import queries_decontaminate, queries_licenses, queries_sharding
+from tessella.llm import queries_decontaminate, queries_licenses, queries_packing, queries_sharding, queries_simhash
 
 LLM_QUERIES = {
     "op3_decontaminate": queries_decontaminate.op3_decontaminate,
     "op4_sharding": queries_sharding.op4_sharding,
+    "op6_packing": queries_packing.op6_packing,
+    "op7_simhash": queries_simhash.op7_simhash,
     "op9_licenses": queries_licenses.op9_licenses,
 }
 
