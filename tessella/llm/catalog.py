@@ -1,8 +1,16 @@
 """Queries of the training-data operators, and the SQL that states the same results."""
 
-from tessella.llm import queries_decontaminate, queries_licenses, queries_packing, queries_sharding, queries_simhash
+from tessella.llm import (
+    queries_decontaminate,
+    queries_licenses,
+    queries_packing,
+    queries_sharding,
+    queries_simhash,
+    queries_suffixes,
+)
 
 LLM_QUERIES = {
+    "op2_suffix_dedup": queries_suffixes.op2_suffix_dedup,
     "op3_decontaminate": queries_decontaminate.op3_decontaminate,
     "op4_sharding": queries_sharding.op4_sharding,
     "op6_packing": queries_packing.op6_packing,

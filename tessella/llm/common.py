@@ -42,6 +42,17 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def map_rows(
     df: DataFrame,
     schema: str,
@@ -87,15 +98,16 @@ def ranked(df: DataFrame, classes: list[str], order: list[Column], spread: Colum
     from pyspark.sql import Window
 
     # The source is read twice: once for the counts, once for the rows.
-    rows = df.withColumn("_part", spread)
-    keys = [*classes, "_part"]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*classes).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    part, n, offset, nth = fresh(df, "part", "n", "offset", "nth")
+    rows = df.withColumn(part, spread)
+    keys = [*classes, part]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*classes).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     inside = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1)
+    numbered = rows.withColumn(nth, F.row_number().over(inside) - 1)
     return (
         numbered.join(offsets, keys)
-        .withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("long"))
-        .drop("_part", "_inside", "_offset")
+        .withColumn(rank, (F.col(offset) + F.col(nth)).cast("long"))
+        .drop(part, nth, offset)
     )

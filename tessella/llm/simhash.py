@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, space_words, written
+from tessella.llm.common import fresh, map_rows, space_words, written
 
 # Distinct fingerprints of one bucket that a task compares at a time; larger buckets are cut into cells.
 CELL = 8192
@@ -225,12 +225,10 @@ def drop_near_copies(documents: DataFrame, *, id: str = "doc_id", text: str = "t
     Rows without an id stay only when no row of their group has one, and then one of them. Of rows that
     repeat the chosen id, the one with the smallest row hash stays.
     """
-    columns = documents.columns
-    marked = documents.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
-    key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_row").alias("row"))
-    keyed = marked.select(key.alias("key"), F.col(text).alias("text"))
-    groups = simhash_groups(keyed, id="key", text="text", **options)
-    keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    same = (F.col("_row") == F.col("_keep.row")) & F.col(id).eqNullSafe(F.col("_keep.id"))
-    chosen = marked.join(keep, same, "left_semi")
-    return chosen.dropDuplicates([id, "_row"]).select(*columns)
+    hash_, keep = fresh(documents, "hash", "keep")
+    marked = documents.withColumn(hash_, F.xxhash64(*[F.col(c) for c in documents.columns]))
+    key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(hash_).alias("row"))
+    groups = simhash_groups(marked.select(key.alias("key"), F.col(text).alias("text")), id="key", **options)
+    chosen = groups.select(F.col("component_id").alias(keep)).distinct()
+    same = (F.col(hash_) == F.col(f"{keep}.row")) & F.col(id).eqNullSafe(F.col(f"{keep}.id"))
+    return marked.join(chosen, same, "left_semi").dropDuplicates([id, hash_]).select(*documents.columns)
