@@ -1,23 +1,30 @@
 """Queries of the training-data operators, and the SQL that states the same results."""
 
 from tessella.llm import (
+    queries_chat,
     queries_decontaminate,
     queries_licenses,
     queries_packing,
+    queries_quality,
     queries_sharding,
     queries_simhash,
     queries_suffixes,
+    queries_toxicity,
 )
 
 LLM_QUERIES = {
+    "op1_quality": queries_quality.op1_quality,
     "op2_suffix_dedup": queries_suffixes.op2_suffix_dedup,
     "op3_decontaminate": queries_decontaminate.op3_decontaminate,
     "op4_sharding": queries_sharding.op4_sharding,
     "op6_packing": queries_packing.op6_packing,
     "op7_simhash": queries_simhash.op7_simhash,
+    "op8_chat": queries_chat.op8_chat,
     "op9_licenses": queries_licenses.op9_licenses,
+    "op10_toxicity": queries_toxicity.op10_toxicity,
 }
 
 LLM_SQL = {
+    "op1_quality": queries_quality.SQL,
     "op3_decontaminate": queries_decontaminate.SQL,
 }

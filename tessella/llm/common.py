@@ -111,3 +111,27 @@ def ranked(df: DataFrame, classes: list[str], order: list[Column], spread: Colum
         .withColumn(rank, (F.col(offset) + F.col(nth)).cast("long"))
         .drop(part, nth, offset)
     )
+
+
+def ranked_sums(
+    df: DataFrame, classes: list[str], part: Column, order: list[Column], value: str, total: str
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows of a class that come before, by ``part`` first, then ``order``.
+
+    As in ``ranked``, a class is summed part by part; parts must follow the order.
+    """
+    from pyspark.sql import Window
+
+    own, whole, offset, inner = fresh(df, "own", "whole", "offset", "inner")
+    rows = df.withColumn(own, part)
+    keys = [*classes, own]
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias(whole))
+    before = Window.partitionBy(*classes).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"{c}_") for c in keys], F.coalesce(F.sum(whole).over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn(inner, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    joined = summed.join(offsets, same).withColumn(total, (F.col(offset) + F.col(inner)).cast("long"))
+    return joined.drop(own, inner, offset, *[f"{c}_" for c in keys])

@@ -110,7 +110,7 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return plan
 
 
-def pack_pieces(pieces: DataFrame, order: list[str], *, max_tokens: int = 2048, rows_per_part: int = 20_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, order: list[str], *, max_tokens: int = 2048, rows_per_part: int = 1_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``max_tokens``.
 
     Reads ``pieces`` several times, so it should be a written table.

@@ -45,7 +45,7 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def assign_shards(
-    documents: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = 24, rows_per_part: int = 20_000
+    documents: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = 24, rows_per_part: int = 1_000
 ) -> DataFrame:
     """Put every row into a shard: ``key, size, text_crc32, shard, slot, grown_shard``.
 
