@@ -1,8 +1,10 @@
 """Queries of the training-data operators, and the SQL that states the same results."""
 
+import corpus_pipeline
 from tessella.llm import (
     queries_chat,
     queries_decontaminate,
+    queries_language,
     queries_licenses,
     queries_packing,
     queries_quality,
@@ -17,11 +19,14 @@ LLM_QUERIES = {
     "op2_suffix_dedup": queries_suffixes.op2_suffix_dedup,
     "op3_decontaminate": queries_decontaminate.op3_decontaminate,
     "op4_sharding": queries_sharding.op4_sharding,
+    "op5_language": queries_language.op5_language,
+    "language_of_pages": queries_language.language_of_pages,
     "op6_packing": queries_packing.op6_packing,
     "op7_simhash": queries_simhash.op7_simhash,
     "op8_chat": queries_chat.op8_chat,
     "op9_licenses": queries_licenses.op9_licenses,
     "op10_toxicity": queries_toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_SQL = {
