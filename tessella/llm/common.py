@@ -87,6 +87,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """Hint a broadcast for a written table of few rows; a larger one is joined by its key."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def ranked(df: DataFrame, classes: list[str], order: list[Column], spread: Column, rank: str) -> DataFrame:
     """Add the gapless rank (from 0) of each row within its class.
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import encode, fresh, map_rows, written
+from tessella.llm.common import encode, fresh, map_rows, sent_if_small, written
 
 # Labelled rows the text model is fitted on at most: those whose hash of the id comes first.
 TRAINING_ROWS = 10_000
@@ -163,9 +163,7 @@ def identify(
         F.array(*[F.col(f"v{i}") for i in range(n)]).alias("host_votes"),
         F.coalesce(F.array(*[F.when(F.col("d0").isNotNull(), F.col(f"d{i}")) for i in range(n)]), F.array()).alias("domain_votes"),
     )
-    smoothed = written(smoothed, "language")
-    if smoothed.count() <= BROADCAST_HOSTS:
-        smoothed = F.broadcast(smoothed)
+    smoothed = sent_if_small(written(smoothed, "language"), BROADCAST_HOSTS)
     joined = seen.join(smoothed.withColumnRenamed("host", "of_host"), (F.col("host") == F.col("of_host")) & F.col("domain").eqNullSafe(F.col("of_domain")), "left")
 
     def fused(columns: dict[str, list]):
