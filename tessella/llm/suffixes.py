@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tessella.llm.common import fresh, written
+from tessella.llm.common import fresh, sent_if_small, written
 
 SPAN = 1 << 19  # string starts handled at a time; longer texts are walked span by span
-GROUP = 4096  # runs of one sample that a task ranks together; more are ranked by string
+GROUP = 1024  # runs of one sample that a task ranks together; more are dealt out by string
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
@@ -301,11 +301,11 @@ def _string_table(sampling: Sampling, batch: pa.RecordBatch | pa.Table) -> tuple
 
 
 def _joined(ord_: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts of a document as (ord, first start, count)."""
+    """Neighbouring starts of a document as (ord, first start, count), cut at every 2**20 starts."""
     order = np.lexsort((start, ord_))
     ord_, start = ord_[order], start[order]
     fresh = np.ones(len(ord_), dtype=bool)
-    fresh[1:] = (ord_[1:] != ord_[:-1]) | (start[1:] > start[:-1] + 1)
+    fresh[1:] = (ord_[1:] != ord_[:-1]) | (start[1:] > start[:-1] + 1) | (start[1:] >> 20 != start[:-1] >> 20)
     first = np.flatnonzero(fresh)
     final = np.concatenate((first[1:], [len(ord_)])) - 1
     return ord_[first], start[first], (start[final] - start[first] + 1) if len(first) else start[first]
@@ -320,57 +320,27 @@ def _later(left, right, ord_, start) -> np.ndarray:
     return order[(ord_ != ord_[lead]) | (start != start[lead])]
 
 
-_JUDGED = "sample long, ord long, place long, bytes binary, start long, count long"
-
-
-def _judge_strings(sampling: Sampling, cap: int):
-    """Rows sorted by sample: ranks all strings of a sample's runs together; larger groups are passed on."""
+def _judge_strings(sampling: Sampling):
+    """Rows sorted by sample to (ord, place): ranks all strings of the runs of one sample together."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
         left, right, ord_, start = _string_table(sampling, table)
         late = _later(left, right, ord_, start)
         ord_, first, count = _joined(ord_[late], start[late])
-        n = len(ord_)
-        none = pa.nulls(n, pa.int64())
-        columns = [none, pa.array(ord_), none, pa.nulls(n, pa.binary()), pa.array(first), pa.array(count)]
-        return pa.RecordBatch.from_arrays(columns, names=["sample", "ord", "place", "bytes", "start", "count"])
-
-    def passed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        none = pa.nulls(table.num_rows, pa.int64())
-        yield from table.append_column("start", none).append_column("count", none).combine_chunks().to_batches()
+        return _record(["ord", "place"], ord_, pack(first, count, REPEATED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = None, None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            if hot is not None:
-                same = np.searchsorted(batch.column("sample").to_numpy(), hot, side="right")
-                if same:
-                    yield from passed(table.slice(0, same))
-                table = table.slice(same)
-                if not table.num_rows:
-                    continue
-                hot = None
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            sample = table.column("sample").to_numpy()
-            bounds = np.concatenate((np.flatnonzero(_new(sample)), [len(sample)]))
-            size = np.diff(bounds)
-            size[-1] = 0  # goes on, perhaps
-            large = np.repeat(size > cap, np.diff(bounds))
-            done = int(bounds[-2])
-            if large[:done].any():
-                yield from passed(table.slice(0, done).filter(pa.array(large[:done])))
-                yield found(table.slice(0, done).filter(pa.array(~large[:done])))
-            elif done:
+            table = table if held is None else pa.concat_tables([held, table])
+            done = int(np.flatnonzero(_new(table.column("sample").to_numpy()))[-1])  # the last sample goes on, perhaps
+            if done:
                 yield found(table.slice(0, done))
             held = table.slice(done)
-            if held.num_rows > cap:
-                yield from passed(held)
-                held, hot = None, sample[-1]
-        if held is not None and held.num_rows:
+        if held is not None:
             yield found(held)
 
     return run
@@ -436,18 +406,18 @@ def repeated_places(documents: DataFrame, length: int, group: int = GROUP) -> Da
     # A document's runs are bounded by its text.
     differing = judged.where(kind == DIFFERING).groupBy("ord").agg(F.collect_list("place").alias("places"))
     runs = documents.join(differing, "ord").select("ord", "text", "places")
-    cut = runs.mapInArrow(_run_bytes(sampling), "sample long, ord long, place long, bytes binary")
-    strings = written(
-        cut.repartition("sample").sortWithinPartitions("sample").mapInArrow(_judge_strings(sampling, group), _JUDGED),
-        "suffix-strings",
-    )
-    places = wholly.union(strings.where("start is not null").select("ord", "start", "count"))
-    hot = strings.where("start is null").select("ord", "place", "bytes")
+    cut = written(runs.mapInArrow(_run_bytes(sampling), "sample long, ord long, place long, bytes binary"), "suffix-bytes")
+    sizes = cut.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(sizes.where(F.col("n") > group).select("sample"), "suffix-hot")
+    few = cut
     if not hot.isEmpty():
-        pairs = hot.mapInArrow(_strings(sampling), _RANKED)
+        few = cut.join(sent_if_small(hot), "sample", "left_anti")
+        many = cut.join(sent_if_small(hot), "sample", "left_semi")
+        pairs = many.select("sample", "ord", "place", "bytes").mapInArrow(_strings(sampling), _RANKED)
         pairs = pairs.repartition("sample").sortWithinPartitions("sample", "run", "ord", "place")
-        places = places.union(pairs.mapInArrow(_judge_places, "ord long, place long").select("ord", *span))
-    return places
+        wholly = wholly.union(pairs.mapInArrow(_judge_places, "ord long, place long").select("ord", *span))
+    few = few.select("sample", "ord", "place", "bytes").repartition("sample").sortWithinPartitions("sample")
+    return wholly.union(few.mapInArrow(_judge_strings(sampling), "ord long, place long").select("ord", *span))
 
 
 def _cut_texts(length: int, schema: pa.Schema, text_at: int):
