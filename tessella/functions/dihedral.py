@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.guards import choice
+
 # Fixed order: a keyed choice indexes this list.
 AUGMENTATIONS = (
     "identity",
@@ -39,8 +41,7 @@ _INVERSE = {"rot90": "rot270", "rot270": "rot90"}
 
 def moved_position(name: str, y: Column, x: Column, size: int) -> tuple[Column, Column]:
     """Where pixel ``(y, x)`` of a long-form patch goes under a named operation."""
-    if name not in AUGMENTATIONS:
-        raise ValueError(f"unknown augmentation {name!r}; expected one of {AUGMENTATIONS}")
+    choice("operation", name, tuple(AUGMENTATIONS))
     return _source(_INVERSE.get(name, name), y, x, size - 1)
 
 

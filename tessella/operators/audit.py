@@ -65,7 +65,7 @@ def channel_histograms(
 def exact_percentiles(
     df: DataFrame, column: str, quantiles: Sequence[float], *, in_memory: int = EXACT_PERCENTILE_ROWS
 ) -> list[float | None]:
-    """Exact linearly interpolated percentiles without one task holding all values.
+    """Exact linearly interpolated percentiles without one task holding all values; NaN if any value is.
 
     Up to ``in_memory`` rows the built-in aggregate is used. Beyond that three passes usually
     serve all quantiles together: a sketch brackets each one, the rows below and inside every
@@ -73,9 +73,12 @@ def exact_percentiles(
     estimated, so the sketch decides only the cost; a bracket that is still too large is narrowed.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
+    sizes = values.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("v")).alias("nan")).first()
+    n = sizes["n"]
     if n == 0:
         return [None for _ in quantiles]
+    if sizes["nan"]:
+        return [math.nan for _ in quantiles]
     if n <= in_memory:
         points = F.array(*[F.lit(float(q)) for q in quantiles])
         return list(values.agg(F.percentile("v", points)).first()[0])
@@ -165,9 +168,21 @@ def patch_power(df: DataFrame, column: str) -> DataFrame:
 
 def value_moments(df: DataFrame, column: str) -> DataFrame:
     """Tall ``(key, value)``: mean, population deviation, min and max over all vector entries."""
-    values = df.select(F.explode_outer(column).alias("v"))
-    stats = values.agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    # Rows are reduced before the aggregation: entries, their sum, and their extremes.
+    own = df.select(F.col(column).alias("v")).select(
+        "v",
+        F.size("v").alias("n"),
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.array_min("v").alias("low"),
+        F.array_max("v").alias("high"),
+    ).filter(F.col("n") > 0)
+    mean = own.agg((F.sum("total") / F.sum("n")).alias("mean")).first()["mean"]
+    gap = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.lit(mean)) * (x - F.lit(mean)))
+    stats = own.agg(
+        F.lit(mean).cast("double").alias("mean"),
+        F.sqrt(F.sum(gap) / F.sum("n")).alias("std"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
     )
     names = ("mean", "std", "min", "max")
     return stats.select(
@@ -197,7 +212,7 @@ def audit_metrics(
     key: str,
     stats: WhiteningStats,
     *,
-    max_pairs: int | None = 512,
+    max_pairs: int | None = None,
     bins: int = 16,
     low: float = 0.0,
     high: float = 1.0,

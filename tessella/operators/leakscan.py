@@ -27,7 +27,6 @@ BINARY_SUFFIXES = (
 EXEMPT_MARKER = "leak-scan-allow"
 FORBIDDEN_PATHS = ("docs/infrastructure.local.md",)
 FORBIDDEN_SUFFIXES = (".local.md",)
-SNIPPET_LENGTH = 120
 
 
 def is_forbidden_path(path: Column) -> Column:
@@ -71,12 +70,12 @@ def _line_bound(pattern: str) -> bool:
 
 
 def scan_texts(
-    texts: DataFrame, extra_patterns: Sequence[Pattern] = ()
+    texts: DataFrame, extra_patterns: Sequence[Pattern] = (), *, snippet_length: int | None = None
 ) -> DataFrame:
     """Findings ``(path, lineno, pattern, snippet)`` of a ``(path, text)`` table.
 
     One finding per line and matching pattern, on the line with canaries removed; lines with the
-    exemption marker are skipped. A forbidden path is one finding at line 0 and its text is not
+    exemption marker are skipped. The snippet is the whole line unless a length is given. A forbidden path is one finding at line 0 and its text is not
     read. Null texts (undecodable files) and binary suffixes are skipped. The scan is one narrow
     pass, so it runs unchanged on a stream, and only texts that can contain a finding are split.
     """
@@ -104,7 +103,9 @@ def scan_texts(
         ),
         lambda name: name.isNotNull(),
     )
-    snippet = F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, SNIPPET_LENGTH)
+    snippet = F.regexp_replace("line", r"^\s+|\s+$", "")
+    if snippet_length is not None:
+        snippet = F.substring(snippet, 1, snippet_length)
     note = F.lit("this file must never be tracked")
     return probed.select(
         "path",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import is_iso8601
+from tessella.session import broadcast_if_small
 
 TERMS_SCHEMA = (
     "dataset string, terms_url string, terms_acceptance_token string, terms_sha256 string, "
@@ -34,8 +35,9 @@ def judge_terms(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
     Dataset names match without regard to case; the token must equal the registered one.
     """
-    known = registry.select(
-        F.lower("dataset").alias("dataset"), "terms_url", "terms_acceptance_token"
+    # Many requests name few datasets, so the registry travels and the requests stay where they are.
+    known = broadcast_if_small(
+        registry.select(F.lower("dataset").alias("dataset"), "terms_url", "terms_acceptance_token")
     )
     asked = requests.withColumn("dataset", F.lower("dataset"))
     status = (
@@ -72,7 +74,7 @@ def pin_actions(
     if acceptances is None:
         joined = joined.withColumn("accepted", F.lit(True))
     else:
-        terms = acceptances.select("dataset").distinct().withColumn("accepted", F.lit(True))
+        terms = broadcast_if_small(acceptances.select("dataset").distinct().withColumn("accepted", F.lit(True)))
         joined = joined.join(terms, "dataset", "left")
     action = (
         F.when(F.col("accepted").isNull(), "refused")

@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import broadcast_if_small
+
+# Entries of a matrix that is sent to the rows it multiplies.
+MATRIX_ROWS = 1 << 14
+
 
 def _half_mirror(edges: DataFrame, sign: float) -> DataFrame:
     mirrored = F.inline(
@@ -54,7 +59,7 @@ def effective_weight(
     tables = [transport] if isinstance(transport, DataFrame) else list(transport)
     speeds = [velocities] if isinstance(velocities, (int, float)) else list(velocities)
     if len(tables) != len(speeds):
-        raise ValueError(f"{len(tables)} transport matrices but {len(speeds)} velocities")
+        raise ValueError(f"every direction needs its velocity: {len(tables)} tables, {len(speeds)} numbers")
     total = base.select("src", "dst", "w")
     for table, speed in zip(tables, speeds, strict=True):
         gain = F.lit(float(alpha) * float(speed))
@@ -85,20 +90,28 @@ def effective_weight_by_direction(
 
 
 def matrix_vector(edges: DataFrame, vector: DataFrame) -> DataFrame:
-    """``W f`` for an edge table and a vector table ``(dst, f)``: ``(src, v)``."""
-    products = edges.join(vector, "dst").select("src", (F.col("w") * F.col("f")).alias("p"))
+    """``W f`` for an edge table and a vector table ``(dst, f)``: ``(src, v)``.
+
+    A vector of few entries is sent to the edges, so a column with most of the edges is not one task.
+    """
+    products = edges.join(broadcast_if_small(vector), "dst").select("src", (F.col("w") * F.col("f")).alias("p"))
     return products.groupBy("src").agg(F.sum("p").alias("v"))
 
 
-def rows_times_matrix(rows: DataFrame, edges: DataFrame, salts: int = 16) -> DataFrame:
+def rows_times_matrix(rows: DataFrame, edges: DataFrame, rows_per_salt: int = 1 << 20) -> DataFrame:
     """``W f`` for many sparse vectors at once: ``(row_id, dst, f)`` to ``(row_id, src, v)``.
 
-    A matrix has few columns and the vectors may be many, so every column index is hot. The
-    vector entries are salted by row and the matrix is repeated once per salt.
+    A small matrix is sent to the vectors. A larger one has many columns, of which some may be hot: entries
+    are then salted by row, with as many salts as the busiest column needs, and the matrix is repeated.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-    repeated = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    products = salted.join(repeated, ["dst", "salt"]).select(
-        "row_id", "src", (F.col("w") * F.col("f")).alias("p")
-    )
+    small = edges.limit(MATRIX_ROWS + 1).count() <= MATRIX_ROWS
+    if small:
+        joined = rows.join(broadcast_if_small(edges, MATRIX_ROWS), "dst")
+    else:
+        busiest = rows.groupBy("dst").count().agg(F.max("count")).first()[0] or 1
+        salts = F.lit(max(1, -(-busiest // rows_per_salt)))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), salts).cast("int"))
+        repeated = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
+        joined = salted.join(repeated, ["dst", "salt"])
+    products = joined.select("row_id", "src", (F.col("w") * F.col("f")).alias("p"))
     return products.groupBy("row_id", "src").agg(F.sum("p").alias("v"))

@@ -12,26 +12,22 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vectors as vec
 from tessella.functions.keyed import keyed_normal, keyed_uniform
+from tessella.guards import at_least
 from tessella.operators.features import sigma_for_snr
 from tessella.session import broadcast_if_small
 
 SCOPES = ("per_step", "per_trajectory", "fixed")
 
 
-def require_sigma(sigma: float) -> None:
-    if not sigma >= 0.0:
-        raise ValueError(f"sigma must be a non-negative real number, got {sigma!r}")
-
-
 def add_awgn_sigma(value: Column, sigma: float, seed: int, *key: Column) -> Column:
     """Gaussian noise of fixed level on a scalar column."""
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     return value + F.lit(float(sigma)) * keyed_normal(F.lit(str(seed)), *key)
 
 
 def add_awgn_sigma_vector(values: Column, sigma: float, seed: int, *key: Column) -> Column:
     """The same for every entry of a vector column; the entry index joins the key."""
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     return F.transform(
         values,
         lambda v, i: v + F.lit(float(sigma)) * keyed_normal(F.lit(str(seed)), *key, i),
@@ -97,14 +93,14 @@ def add_awgn_snr_vectors(
 
 def state_noise(keys: DataFrame, sigma: float, seed: int, *key: str) -> DataFrame:
     """One Gaussian draw per row of a key table."""
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     draw = keyed_normal(F.lit(str(seed)), *[F.col(k) for k in key])
     return keys.withColumn("noise", F.lit(float(sigma)) * draw)
 
 
 def gaussian_weight_noise(edges: DataFrame, sigma: float, seed: int, *scope: str) -> DataFrame:
     """Gaussian draw per edge ``(src, dst)``, refreshed per distinct value of ``scope``."""
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     key = [F.col(c) for c in (*scope, "src", "dst")]
     draw = keyed_normal(F.lit(str(seed)), *key)
     return edges.withColumn("noise", F.lit(float(sigma)) * draw)
@@ -112,7 +108,7 @@ def gaussian_weight_noise(edges: DataFrame, sigma: float, seed: int, *scope: str
 
 def uniform_weight_noise(edges: DataFrame, sigma: float, seed: int) -> DataFrame:
     """Uniform draw in ``(-sigma, sigma)`` per edge ``(src, dst)``."""
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     draw = keyed_uniform(F.lit(str(seed)), F.col("src"), F.col("dst"))
     return edges.withColumn("noise", (F.lit(2.0) * draw - 1.0) * F.lit(float(sigma)))
 
@@ -134,13 +130,15 @@ def scoped_weight_noise(
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown resample scope {scope!r}; expected one of {SCOPES}")
-    require_sigma(sigma)
+    at_least("sigma", sigma)
     if (scope == "fixed") != (fixed is not None):
         raise ValueError("a fixed perturbation table is required for, and only for, scope='fixed'")
     if scope == "per_step":
         return gaussian_weight_noise(edges, sigma, seed, trajectory, step)
     if scope == "per_trajectory":
         return gaussian_weight_noise(edges, sigma, seed, trajectory)
-    joined = edges.join(fixed.select("src", "dst", "noise"), ["src", "dst"], "left")
+    # Few pairs may carry most edges; a small table goes to the edges instead of the edges to the pairs.
+    drawn = broadcast_if_small(fixed.select("src", "dst", "noise"))
+    joined = edges.join(drawn, ["src", "dst"], "left")
     missing = F.raise_error(F.lit("fixed perturbation does not cover every edge"))
     return joined.withColumn("noise", F.coalesce("noise", missing.cast("double")))

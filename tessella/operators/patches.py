@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.dihedral import AUGMENTATIONS, augment
 from tessella.functions.keyed import patch_digest, uniform_from_digest
+from tessella.guards import at_least
+from tessella.session import broadcast_if_small
 
 HANN_FLOOR = 1e-3
 
@@ -31,10 +33,8 @@ class PatchConfig:
     augment: bool = False
 
     def __post_init__(self) -> None:
-        if self.size < 1 or self.stride < 1:
-            raise ValueError("patch size and stride must be >= 1")
-        if self.n_random < 0 or self.border < 0:
-            raise ValueError("n_random and border must be >= 0")
+        for name, floor in (("size", 1), ("stride", 1), ("n_random", 0), ("border", 0)):
+            at_least(name, getattr(self, name), floor)
 
 
 def _whole(quotient: Column) -> Column:
@@ -42,7 +42,7 @@ def _whole(quotient: Column) -> Column:
 
 
 def _fits(length: Column, size: int) -> Column:
-    message = F.lit(f"dimension smaller than patch size {size}")
+    message = F.lit(f"an image side is shorter than a patch side of {size}")
     return F.when(length >= size, length).otherwise(F.raise_error(message).cast("int"))
 
 
@@ -175,15 +175,16 @@ def uncovered_images(reassembled: DataFrame, shapes: DataFrame) -> DataFrame:
     ``shapes`` is ``(image_id, height, width, channels)``. Pixels are unique after
     reassembly, so counting those inside the frame is enough and no pixel grid is built.
     """
-    framed = reassembled.join(shapes, "image_id")
-    inside = (
-        (F.col("y") >= 0)
-        & (F.col("x") >= 0)
-        & (F.col("y") < F.col("height"))
-        & (F.col("x") < F.col("width"))
-        & (F.col("weight") > 0)
-    )
-    counts = framed.groupBy("image_id").agg(F.count_if(inside).alias("covered"))
+    # Pixels are counted per image, task by task, before shapes are looked up; only images that reach beyond
+    # their frame are counted again with the frame at hand.
+    drawn = reassembled.filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("weight") > 0)).select("image_id", "y", "x")
+    totals = drawn.groupBy("image_id").agg(F.count(F.lit(1)).alias("covered"), F.max("y").alias("y"), F.max("x").alias("x"))
+    framed = (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))
+    counted = shapes.select("image_id", "height", "width").join(totals, "image_id")
+    within = counted.filter(framed).select("image_id", "covered")
+    beyond = counted.filter(~framed).select("image_id", "height", "width")
+    recounted = drawn.join(broadcast_if_small(beyond), "image_id").groupBy("image_id")
+    counts = within.unionByName(recounted.agg(F.count_if(framed).alias("covered")))
     wanted = (F.col("height") * F.col("width") * F.col("channels")).cast("bigint")
     return (
         shapes.select("image_id", wanted.alias("wanted"))

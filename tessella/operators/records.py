@@ -22,7 +22,8 @@ class Field:
     """One permitted key: its kind and whether it may be absent or null.
 
     Kinds: str, safe_str (leak-scanned), digest, int, float (finite), bool, object, str_map.
-    ``members`` closes the keys of an object; ``one_of`` lists the permitted strings.
+    ``members`` closes the keys of an object; ``one_of`` lists the permitted strings; a number must lie
+    ``above`` its bound.
     """
 
     kind: str
@@ -30,6 +31,7 @@ class Field:
     required: bool = True
     members: Mapping[str, Field] | None = None
     one_of: Sequence[str] | None = None
+    above: float | None = None
 
 
 def _json_path(path: str) -> str:
@@ -130,6 +132,9 @@ def _field_violations(record: _Record, path: str, field: Field) -> list[Violatio
         number = record.get(path, "double")
         endless = number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
         out.append(("not_finite", path, fits & endless))
+    if field.above is not None:
+        beyond = record.get(path, "double") > F.lit(float(field.above))
+        out.append(("out_of_range", path, fits & ~F.coalesce(beyond, F.lit(False))))
     if field.kind == "str_map":
         out.append(("not_str_to_str", path, fits & (F.size(record.non_string_members(path)) > 0)))
     return out

@@ -31,8 +31,15 @@ def unit_block(x: np.ndarray) -> np.ndarray:
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in key order."""
-    return df.orderBy(key).limit(n)
+    """The first ``n`` rows in key order, null keys ahead.
+
+    The last key that belongs to them is found on the keys alone; vectors are read and computed for rows up
+    to it only.
+    """
+    order = F.asc_nulls_first(key)
+    last = df.select(key).orderBy(order).limit(n).agg(F.max(key)).first()[0]
+    near = F.col(key).isNull() if last is None else F.col(key).isNull() | (F.col(key) <= F.lit(last))
+    return df.filter(near).orderBy(order).limit(n)
 
 
 def nearest_cosine(
@@ -41,13 +48,13 @@ def nearest_cosine(
     column: str,
     key: str,
     *,
-    max_pairs: int | None = 512,
+    max_pairs: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Best cosine per test row: ``(key, cosine)``.
+    """Best cosine of every test row: ``(key, cosine)``, one row each, whatever its key.
 
-    ``max_pairs`` keeps the first rows of each side in key order, as the audit defines it;
-    ``None`` compares whole tables.
+    Keys may repeat or be null on either side. ``max_pairs`` keeps the first rows of each side in key order;
+    by default whole tables are compared.
     """
     if max_pairs is not None:
         train, test = first_rows(train, key, max_pairs), first_rows(test, key, max_pairs)
@@ -64,9 +71,14 @@ def nearest_cosine(
 
 def _nearest_by_cells(train: DataFrame, test: DataFrame, column: str, key: str) -> DataFrame:
     norm = F.sqrt(vec.sum_squares(F.col(column)))
+    # The result of a row depends on its vector only, so vectors are the probes and rows look theirs up.
+    name_of = F.concat_ws(":", F.xxhash64(column), F.xxhash64(F.lit(1), column))
+    rows = test.select(F.col(key).alias("key"), name_of.alias("id"))
+    test = test.select(column).withColumn("id", name_of).dropDuplicates(["id"])
+    train = train.select(column).withColumn("id", name_of)
     sides = {
         name: side.select(
-            F.col(key).alias("id"), block_function(unit_block, F.col(column)).alias("u"), norm.alias("norm")
+            "id", block_function(unit_block, F.col(column)).alias("u"), norm.alias("norm")
         )
         for name, side in (("train", train), ("test", test))
     }
@@ -155,9 +167,10 @@ def _nearest_by_cells(train: DataFrame, test: DataFrame, column: str, key: str)
     for part in found[1:]:
         pool = pool.unionByName(part)
     best = pool.groupBy("id").agg(F.max("cosine").alias("cosine"))
-    return best.join(probes.select("id", "length"), "id").select(
-        F.col("id").alias(key), (F.col("cosine") * F.col("length")).alias("cosine")
+    scaled = best.join(probes.select("id", "length"), "id").select(
+        "id", (F.col("cosine") * F.col("length")).alias("cosine")
     )
+    return rows.join(scaled, "id").select(F.col("key").alias(key), "cosine")
 
 
 def _best_in_cells(probes: DataFrame, members: DataFrame, sizes: np.ndarray) -> DataFrame:

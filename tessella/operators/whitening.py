@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
+from tessella.guards import above, at_least
 from tessella.operators.kernels import affine
 from tessella.operators.moments import Moments, vector_moments, vector_width
 from tessella.session import check_model_size
@@ -31,10 +32,8 @@ class WhiteningStats:
 def whitening_from_moments(
     moments: Moments, *, eps: float = DEFAULT_EPS, input_manifest_sha256: str | None = None
 ) -> WhiteningStats:
-    if not eps > 0.0:
-        raise ValueError(f"eps must be a positive real number, got {eps!r}")
-    if moments.n < 2:
-        raise ValueError(f"need at least 2 samples to fit whitening, got {moments.n}")
+    above("eps", eps)
+    at_least("training rows", moments.n, 2)
     check_model_size(moments.scatter)
     values, vectors = np.linalg.eigh(moments.scatter / (moments.n - 1))
     root = np.sqrt(np.clip(values, 0.0, None) + eps)
@@ -57,8 +56,7 @@ def fit_whitening(
     input_manifest_sha256: str | None = None,
 ) -> WhiteningStats:
     """Fit on a table of training vectors: one pass over the data, one small matrix on the driver."""
-    if not eps > 0.0:
-        raise ValueError(f"eps must be a positive real number, got {eps!r}")
+    above("eps", eps)
     width = width or vector_width(train, column)
     return whitening_from_moments(
         vector_moments(train, column, width=width),

@@ -19,7 +19,7 @@ from tessella.plans.bindings.common import (
     entries,
     r6_sql,
 )
-from tessella.session import r6, read_table, reliable_checkpoint
+from tessella.session import r6, read_table
 
 UNITS, PLACE_WIDTH, RING_WIDTH = 12, 0.08, 0.1
 _MIXED = pop.MixedCode(n_place=UNITS, n_periodic=6, frequency=3, width=PLACE_WIDTH)
@@ -80,8 +80,8 @@ _DECODE_SQL = (
 
 def rectified_write(spark: SparkSession, directory: str) -> DataFrame:
     """Rectified embedding activity blended with the code of the row's own label."""
-    e = embeddings(spark, directory, 16)
-    code = pop.place_code(F.col("label") / F.lit(9.0), 16, 0.2)
+    e = embeddings(spark, directory)
+    code = pop.place_code(F.col("label") / F.lit(9.0), 64, 0.2)
     activity = F.transform("f", lambda u: vec.log_rectifier(u, 1.5, 0.05, 4.0))
     shrunk = F.transform(vec.write_mix(activity, code, 0.25), lambda v: vec.soft_threshold(v, 0.1))
     return entries(e.select("vec_id", shrunk.alias("f")), "f", "vec_id")
@@ -89,7 +89,7 @@ def rectified_write(spark: SparkSession, directory: str) -> DataFrame:
 
 _WRITE_SQL = f"""
 WITH {LONG}, m AS (SELECT vec_id, i, 0.75 * (1.5 * ln(1 + 4 * greatest(v + 0.05, 0.0::DOUBLE)))
-  + 0.25 * exp(-pow(label / 9.0::DOUBLE - i / 15.0::DOUBLE, 2) / 0.08) AS z FROM e WHERE i < 16)
+  + 0.25 * exp(-pow(label / 9.0::DOUBLE - i / 63.0::DOUBLE, 2) / 0.08) AS z FROM e)
 SELECT vec_id, i, {r6_sql("sign(z) * greatest(abs(z) - 0.1, 0.0::DOUBLE)")} AS v FROM m
 """
 
@@ -121,21 +121,17 @@ SELECT p_partkey, y, x, {r6_sql("amplitude * exp(-0.5 * (a * a / (sigma_x * sigm
 
 
 def _flow(spark: SparkSession, directory: str) -> DataFrame:
-    """Units shipped between nations as edges; lines are totalled per order and supplier first."""
-    lines = (
-        read_table(spark, directory, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
-        .groupBy("l_orderkey", "l_suppkey")
-        .agg(F.sum("l_quantity").alias("q"))
-    )
+    """Units shipped between nations as edges; sums are partial before they are exchanged."""
+    lines = read_table(spark, directory, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
     orders = read_table(spark, directory, "orders", "o_orderkey", "o_custkey")
     customers = read_table(spark, directory, "customer", "c_custkey", "c_nationkey")
     suppliers = read_table(spark, directory, "supplier", "s_suppkey", "s_nationkey")
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
-        .agg((F.sum("q") / 100).alias("w"))
+        .agg((F.sum("l_quantity") / 100).alias("w"))
     )
 
 
@@ -156,27 +152,23 @@ def sym_antisym(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def effective_weight(spark: SparkSession, directory: str) -> DataFrame:
-    edges = reliable_checkpoint(_flow(spark, directory))  # small, and read three times
-    transport = matrices.antisymmetric_part(edges)
-    second = transport.select("src", "dst", (F.col("w") * F.col("w")).alias("w"))
-    total = matrices.effective_weight(
-        matrices.symmetric_part(edges), [transport, second], [0.5, -0.01], alpha=1.7320508
-    )
+    parts = matrices.split_parts(_flow(spark, directory))  # both parts in one pass over the flow
+    edge = lambda w: parts.select("src", "dst", w.alias("w"))
+    transport, second = edge(F.col("a")), edge(F.col("a") * F.col("a"))
+    total = matrices.effective_weight(edge(F.col("s")), [transport, second], [0.5, -0.01], alpha=1.7320508)
     return total.withColumn("w", r6(F.col("w")))
 
 
 def effective_weight_by_direction(spark: SparkSession, directory: str) -> DataFrame:
     """The same with both directions in one table."""
-    edges = reliable_checkpoint(_flow(spark, directory))  # small, and read three times
-    transport = matrices.antisymmetric_part(edges)
+    parts = matrices.split_parts(_flow(spark, directory))
     both = F.array(
-        F.struct(F.lit(1).alias("d"), F.col("w").alias("w")),
-        F.struct(F.lit(2).alias("d"), (F.col("w") * F.col("w")).alias("w")),
-    )
-    stacked = transport.select("src", "dst", F.inline(both))
-    total = matrices.effective_weight_by_direction(
-        matrices.symmetric_part(edges), stacked, {1: 0.5, 2: -0.01}, alpha=1.7320508
+        F.struct(F.lit(1).alias("d"), F.col("a").alias("w")),
+        F.struct(F.lit(2).alias("d"), (F.col("a") * F.col("a")).alias("w")),
     )
+    stacked = parts.select("src", "dst", F.inline(both))
+    base = parts.select("src", "dst", F.col("s").alias("w"))
+    total = matrices.effective_weight_by_direction(base, stacked, {1: 0.5, 2: -0.01}, alpha=1.7320508)
     return total.withColumn("w", r6(F.col("w")))
 
 

@@ -247,7 +247,7 @@ SELECT i, m, {r6_sql("w / sqrt(sum(w * w) OVER (PARTITION BY m))")} AS w FROM mo
 def sparse_code_batch(spark: SparkSession, directory: str) -> DataFrame:
     """Fifty stable steps: how many rows end below their starting objective, and none above."""
     phi, lam = _model(spark, directory)
-    eta = inference.stable_step_size(phi, lam, WEIGHT, eps=1e-3)
+    eta = inference.step_size(phi, lam, WEIGHT, eps=1e-3)
     options = {"eta": eta, "penalty_weight": WEIGHT, "eps": 1e-3}
     coded = embeddings(spark, directory)
     for steps in (0, 25, 50):

@@ -40,17 +40,67 @@ def derive_sql(source: str, columns: Mapping[str, str]) -> str:
     return f"SELECT {listed} FROM {source}"
 
 
-def embeddings(
-    spark: SparkSession, directory: str, length: int = 64, *, spread: bool = False
-) -> DataFrame:
+def embeddings(spark: SparkSession, directory: str, *, spread: bool = False) -> DataFrame:
     """``(vec_id, label, role, f)``: labels below 7 train, below 9 val, the rest test."""
     values = doubles(F.col("embedding"))
     role = F.when(F.col("label") < 7, "train").when(F.col("label") < 9, "val").otherwise("test")
     return read_table(spark, directory, "embeddings", spread=spread).select(
-        "vec_id", "label", role.alias("role"), (F.slice(values, 1, length) if length < 64 else values).alias("f")
+        "vec_id", "label", role.alias("role"), values.alias("f")
     )
 
 
+def rgb_patches(spark: SparkSession, directory: str, *, spread: bool = False) -> DataFrame:
+    """Embeddings as 8x8 RGB patches, channel last: pixel p has entries p, p + 1 and p + 2, modulo 64."""
+    e = embeddings(spark, directory, spread=spread)
+    pixel = lambda v, p: F.array(v, *[F.get("f", ((p + k) % 64).cast("int")) for k in (1, 2)])
+    return e.withColumn("f", F.flatten(F.transform("f", pixel)))
+
+
+def rgb_crops(spark: SparkSession, directory: str) -> DataFrame:
+    """The sixteen 2x2 RGB crops of each patch: twelve entries, channel last; ``crop_id`` is the key."""
+    patches = rgb_patches(spark, directory, spread=True)
+    entry = lambda y, x, c: F.get("f", F.lit((y * 8 + x) * 3 + c))
+    crops = [
+        F.struct(
+            (F.col("vec_id") * 16 + by * 4 + bx).alias("crop_id"),
+            F.array(*[entry(2 * by + d // 2, 2 * bx + d % 2, c) for d in range(4) for c in range(3)]).alias("f"),
+        )
+        for by in range(4)
+        for bx in range(4)
+    ]
+    return patches.select("label", "role", F.inline(F.array(*crops)))
+
+
+# The same in SQL, over LONG.
+RGB_LONG = (
+    "x AS (SELECT vec_id, label, CAST(3 * ((i - c + 64) % 64) + c AS INTEGER) AS i, v FROM e, "
+    "(SELECT CAST(c AS INTEGER) AS c FROM range(3) r(c)))"
+)
+CROP_LONG = (
+    "cr AS (SELECT vec_id * 16 + (i // 24 // 2) * 4 + (i // 3 % 8) // 2 AS crop_id, label, "
+    "CAST((i // 24 % 2 * 2 + i // 3 % 8 % 2) * 3 + i % 3 AS INTEGER) AS i, v FROM x)"
+)
+
+
+def inverse_root_sql(covariance: str, size: int, steps: int, eps: float) -> str:
+    """CTEs up to ``root(i, j, v)``, the inverse square root of ``covariance(i, j, v) + eps``: Newton-Schulz steps."""
+    parts = [
+        f"a AS MATERIALIZED (SELECT i, j, v + CASE WHEN i = j THEN {eps} ELSE 0 END AS v FROM {covariance})",
+        "nrm AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS s FROM a)",
+        "y0 AS MATERIALIZED (SELECT i, j, v / s AS v FROM a, nrm)",
+        "z0 AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END AS v FROM a)",
+    ]
+    product = "SELECT p.i, q.j, sum(p.v * q.v) AS v FROM {0} p JOIN {1} q ON p.j = q.i GROUP BY p.i, q.j"
+    for k in range(steps):
+        parts += [
+            f"t{k} AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.5 ELSE 0 END - v / 2 AS v FROM ({product.format(f'z{k}', f'y{k}')}))",
+            f"y{k + 1} AS MATERIALIZED ({product.format(f'y{k}', f't{k}')})",
+            f"z{k + 1} AS MATERIALIZED ({product.format(f't{k}', f'z{k}')})",
+        ]
+    parts.append(f"root AS MATERIALIZED (SELECT i, j, v / sqrt(s) AS v FROM z{steps}, nrm)")
+    return ", ".join(parts)
+
+
 # Long form of the embeddings, one row per entry.
 LONG = (
     "e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, "

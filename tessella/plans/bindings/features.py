@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.functions import vectors as vec
 from tessella.operators import audit, features, noise
-from tessella.operators.moments import vector_moments
+from tessella.operators.moments import Moments, vector_moments
 from tessella.operators.similarity import nearest_cosine
 from tessella.operators.whitening import (
+    WhiteningStats,
     apply_whitening,
     covariance_residual,
     fit_whitening,
     invert_whitening,
+    whitening_from_moments,
+)
+from tessella.plans.bindings.common import (
+    CROP_LONG,
+    LONG,
+    RGB_LONG,
+    Bound,
+    embeddings,
+    entries,
+    inverse_root_sql,
+    normal_sql,
+    r6_sql,
+    rgb_crops,
+    rgb_patches,
+    uniform_sql,
 )
-from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql, uniform_sql
 from tessella.plans.representation import (
     apply_representation,
     fit_representation,
@@ -26,11 +42,9 @@ from tessella.plans.representation import (
 )
 from tessella.session import r6, read_table
 
-# The first 48 entries of an embedding are read as a 4x4 RGB patch, channel last.
-RGB = 48
 _PIXELS = (
-    "px AS (SELECT vec_id, label, CAST(i // 3 AS INTEGER) AS p, max(v) FILTER (i % 3 = 0) AS r, "
-    "max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 2) AS b FROM e WHERE i < 48 GROUP BY ALL)"
+    f"{RGB_LONG}, px AS (SELECT vec_id, label, CAST(i // 3 AS INTEGER) AS p, max(v) FILTER (i % 3 = 0) AS r, "
+    "max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 2) AS b FROM x GROUP BY ALL)"
 )
 _OPPONENT = (
     "op AS (SELECT vec_id, label, p, (r + g + b) / sqrt(3.0) AS o0, (r - g) / sqrt(2.0) AS o1, "
@@ -67,7 +81,7 @@ SELECT vec_id, i, {r6_sql("lin", 8)} AS lin, {r6_sql(_ENCODE.format("lin"))} AS
 
 
 def opponent(spark: SparkSession, directory: str) -> DataFrame:
-    pixels = embeddings(spark, directory, RGB).select("vec_id", F.inline(color.rgb_pixels(F.col("f"))))
+    pixels = rgb_patches(spark, directory).select("vec_id", F.inline(color.rgb_pixels(F.col("f"))))
     axes = color.rgb_to_opponent(F.col("r"), F.col("g"), F.col("b"))
     rotated = pixels.select("vec_id", "p", *[a.alias(f"o{k}") for k, a in enumerate(axes)])
     back = color.opponent_to_rgb(F.col("o0"), F.col("o1"), F.col("o2"))
@@ -87,7 +101,7 @@ SELECT vec_id, p, {", ".join(f"{r6_sql(f'op.o{k}')} AS o{k}" for k in range(3))}
 
 
 def dc_remove(spark: SparkSession, directory: str) -> DataFrame:
-    patches = embeddings(spark, directory, RGB).withColumn("dc", vec.channel_means(F.col("f"), 3))
+    patches = rgb_patches(spark, directory).withColumn("dc", vec.channel_means(F.col("f"), 3))
     centered = patches.withColumn("centered", vec.remove_dc(F.col("f"), F.col("dc"), 3))
     rows = centered.select(
         "vec_id",
@@ -106,14 +120,14 @@ def dc_remove(spark: SparkSession, directory: str) -> DataFrame:
 
 
 _DC_SQL = f"""
-WITH {LONG}, m AS (SELECT vec_id, i, v, avg(v) OVER (PARTITION BY vec_id, i % 3) AS dc FROM e WHERE i < 48)
+WITH {LONG}, {RGB_LONG}, m AS (SELECT vec_id, i, v, avg(v) OVER (PARTITION BY vec_id, i % 3) AS dc FROM x)
 SELECT vec_id, i, {r6_sql("v - dc")} AS centered, {r6_sql("dc")} AS dc, {r6_sql("v")} AS restored FROM m
 """
 
 
 def opponent_features(spark: SparkSession, directory: str) -> DataFrame:
     return entries(
-        embeddings(spark, directory, RGB).select(
+        rgb_patches(spark, directory).select(
             "vec_id", features.opponent_dc_features(F.col("f")).alias("f")
         ),
         "f",
@@ -162,15 +176,60 @@ FROM e a JOIN e b USING (vec_id) JOIN m ON a.i = m.i GROUP BY a.i, b.i
 
 
 def whiten_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
-    """Whitening fitted on train rows, applied to every row and undone."""
+    """Whitening fitted on train rows, applied to every row, and undone."""
     e = embeddings(spark, directory)
     stats = fit_whitening(e.filter(F.col("role") == "train"), "f", width=64)
     whitened = e.select("vec_id", apply_whitening(F.col("f"), stats).alias("w"))
-    return entries(whitened.select("vec_id", invert_whitening(F.col("w"), stats).alias("f")), "f", "vec_id")
+    both = whitened.withColumn("f", invert_whitening(F.col("w"), stats))
+    rows = both.select("vec_id", F.posexplode(F.arrays_zip("w", "f")).alias("i", "z"))
+    return rows.select("vec_id", "i", r6(F.col("z.w"), 5).alias("w"), r6(F.col("z.f")).alias("v"))
+
+
+def _whitened_sql(rows: str, key: str, size: int, steps: int, eps: float = 1e-5) -> str:
+    """CTEs up to ``wh(key, label, i, w)``: long rows whitened with the statistics of labels below 7."""
+    return (
+        f"mu AS MATERIALIZED (SELECT i, avg(v) AS m FROM {rows} WHERE label < 7 GROUP BY i), "
+        f"ce AS MATERIALIZED (SELECT {key}, label, i, v - m AS v FROM {rows} JOIN mu USING (i)), "
+        f"co AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS v FROM ce a JOIN ce b USING ({key}) "
+        f"WHERE a.label < 7 GROUP BY a.i, b.i), {inverse_root_sql('co', size, steps, eps)}, "
+        f"wh AS MATERIALIZED (SELECT {key}, label, root.i, sum(root.v * ce.v) AS w FROM root JOIN ce ON root.j = ce.i "
+        f"GROUP BY {key}, label, root.i)"
+    )
+
+
+_ROUNDTRIP_SQL = f"""
+WITH {LONG}, {_whitened_sql("e", "vec_id", 64, 22)}
+SELECT vec_id, i, {r6_sql("w", 5)} AS w, {r6_sql("v")} AS v FROM wh JOIN e USING (vec_id, i)
+"""
+
+
+def whiten_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Each two neighbouring entries whitened by themselves, where the inverse root has a closed form."""
+    e = embeddings(spark, directory)
+    every = vector_moments(e.filter(F.col("role") == "train"), "f", width=64)
+    whiten = np.zeros((64, 64))
+    for k in range(0, 64, 2):
+        pair = slice(k, k + 2)
+        own = Moments(every.n, every.mean[pair], every.scatter[pair, pair])
+        whiten[pair, pair] = whitening_from_moments(own).whiten
+    stats = WhiteningStats(every.mean, whiten, np.linalg.inv(whiten), 1e-5, every.n)
+    return entries(e.select("vec_id", apply_whitening(F.col("f"), stats).alias("w")), "w", "vec_id")
+
+
+_PAIRS_SQL = f"""
+WITH {LONG}, mu AS (SELECT i, avg(v) AS m FROM e WHERE label < 7 GROUP BY i),
+ce AS (SELECT vec_id, label, i, v - m AS v FROM e JOIN mu USING (i)),
+pr AS (SELECT vec_id, label, i // 2 AS k, max(v) FILTER (i % 2 = 0) AS a, max(v) FILTER (i % 2 = 1) AS b FROM ce GROUP BY ALL),
+mo AS (SELECT k, var_samp(a) + 1e-5 AS p, var_samp(b) + 1e-5 AS q, covar_samp(a, b) AS r FROM pr WHERE label < 7 GROUP BY k),
+sq AS (SELECT k, sqrt(p * q - r * r) AS d, p, q, r, sqrt(p + q + 2 * sqrt(p * q - r * r)) AS t FROM mo),
+ro AS (SELECT k, (q + d) / (t * d) AS p, (p + d) / (t * d) AS q, -r / (t * d) AS r FROM sq)
+SELECT vec_id, CAST(2 * k + c AS INTEGER) AS i, {r6_sql("CASE c WHEN 0 THEN p * a + r * b ELSE r * a + q * b END")} AS v
+FROM pr JOIN ro USING (k), range(2) s(c)
+"""
 
 
 def whiten_check(spark: SparkSession, directory: str) -> DataFrame:
-    """Whitened train rows: zero mean and a covariance of lambda / (lambda + eps) per direction."""
+    """Whitened train rows: largest mean, and how far their covariance is from the identity."""
     train = embeddings(spark, directory).filter(F.col("role") == "train")
     stats = fit_whitening(train, "f", width=64)
     residual = covariance_residual(train, "f", stats)
@@ -178,33 +237,54 @@ def whiten_check(spark: SparkSession, directory: str) -> DataFrame:
     means = whitened.select(F.posexplode_outer("w").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
     return means.agg(
         (F.max(F.abs("m")) < 1e-9).alias("zero_mean"),
-        F.lit(residual["max_abs_off_identity"] < 0.01).alias("near_identity"),
+        r6(F.lit(residual["max_abs_off_identity"])).alias("max_off"),
+        r6(F.lit(residual["mean_abs_off_identity"])).alias("mean_off"),
         F.lit(stats.n_samples).cast("bigint").alias("n_train"),
     )
 
 
-_WHITEN_SQL = "SELECT true AS zero_mean, true AS near_identity, count(*) AS n_train FROM embeddings WHERE label < 7"
+_OFF = (
+    "off AS (SELECT abs(sum(a.w * b.w) / (count(*) - 1) - CASE WHEN a.i = b.i THEN 1 ELSE 0 END) AS o "
+    "FROM wh a JOIN wh b USING ({0}) WHERE a.label < 7 GROUP BY a.i, b.i)"
+)
+_WHITEN_SQL = f"""
+WITH {LONG}, {_whitened_sql("e", "vec_id", 64, 22)}, {_OFF.format("vec_id")}
+SELECT (SELECT max(abs(m)) < 1e-9 FROM (SELECT avg(w) AS m FROM wh WHERE label < 7 GROUP BY i)) AS zero_mean,
+  {r6_sql("max(o)")} AS max_off, {r6_sql("avg(o)")} AS mean_off, (SELECT count(*) FROM embeddings WHERE label < 7) AS n_train FROM off
+"""
 
 
 def representation_fit_apply(spark: SparkSession, directory: str) -> DataFrame:
-    """Fit on train, apply to all splits, map back to features; the scale comes along."""
-    patches = embeddings(spark, directory, RGB)
-    require_train_only(train_rows(patches))
-    fitted = fit_representation(patches, "f")
-    applied = patches.select("vec_id", apply_representation(F.col("f"), fitted).alias("z"))
-    back = applied.select(
-        "vec_id",
-        F.lit(fitted.global_scale).alias("scale"),
+    """Fit on train crops, apply to all of them, and map back to features; the scale comes along."""
+    crops = rgb_crops(spark, directory)
+    require_train_only(train_rows(crops))
+    fitted = fit_representation(crops, "f")
+    applied = crops.select("crop_id", apply_representation(F.col("f"), fitted).alias("z"))
+    both = applied.withColumn("f", invert_representation(F.col("z"), fitted))
+    rows = both.select("crop_id", F.posexplode(F.arrays_zip("z", "f")).alias("i", "e"))
+    return rows.select(
+        "crop_id",
+        "i",
+        r6(F.col("e.z"), 5).alias("z"),
+        r6(F.col("e.f")).alias("v"),
+        r6(F.lit(fitted.global_scale), 8).alias("scale"),
         F.lit(fitted.n_train).cast("bigint").alias("n_train"),
-        invert_representation(F.col("z"), fitted).alias("f"),
     )
-    return entries(back, "f", "vec_id", "scale", "n_train").withColumn("scale", r6(F.col("scale"), 8))
 
 
+# Opponent features of the crops without their channel means.
+_CROP_FEATURES = (
+    f"{RGB_LONG}, {CROP_LONG}, cp AS (SELECT crop_id, label, i // 3 AS p, max(v) FILTER (i % 3 = 0) AS r, "
+    "max(v) FILTER (i % 3 = 1) AS g, max(v) FILTER (i % 3 = 2) AS b FROM cr GROUP BY ALL), "
+    "cf AS MATERIALIZED (SELECT crop_id, label, CAST(3 * p + c AS INTEGER) AS i, o - avg(o) OVER (PARTITION BY crop_id, c) AS v FROM "
+    "(SELECT crop_id, label, p, unnest([0, 1, 2]) AS c, unnest([(r + g + b) / sqrt(3.0), (r - g) / sqrt(2.0), "
+    "(r + g - 2 * b) / sqrt(6.0)]) AS o FROM cp))"
+)
 _FIT_SQL = f"""
-WITH {LONG}, {_PIXELS}, {_OPPONENT}, {_FEATURES},
-s AS (SELECT sqrt(avg(v * v)) AS scale, count(DISTINCT vec_id) AS n_train FROM fe WHERE label < 7)
-SELECT vec_id, i, {r6_sql("v")} AS v, {r6_sql("scale", 8)} AS scale, n_train FROM fe, s
+WITH {LONG}, {_CROP_FEATURES}, {_whitened_sql("cf", "crop_id", 12, 30)},
+s AS (SELECT sqrt(avg(v * v)) AS scale, count(DISTINCT crop_id) AS n_train FROM cf WHERE label < 7)
+SELECT crop_id, i, {r6_sql("w / scale", 5)} AS z, {r6_sql("v")} AS v, {r6_sql("scale", 8)} AS scale, n_train
+FROM wh JOIN cf USING (crop_id, i), s
 """
 
 
@@ -268,27 +348,27 @@ def snr_measured(spark: SparkSession, directory: str) -> DataFrame:
 
 def histogram(spark: SparkSession, directory: str) -> DataFrame:
     counts = audit.channel_histograms(
-        embeddings(spark, directory, RGB), "f", 3, bins=16, low=-0.25, high=0.25
+        rgb_patches(spark, directory), "f", 3, bins=16, low=-0.25, high=0.25
     )
     return counts.withColumn("low_edge", r6(F.col("low_edge")))
 
 
 _HISTOGRAM_SQL = f"""
-WITH {LONG}, cells AS (SELECT CAST(c AS INTEGER) AS c, CAST(b AS INTEGER) AS bin, -0.25 + b * 0.03125::DOUBLE AS lo
+WITH {LONG}, {RGB_LONG}, cells AS (SELECT CAST(c AS INTEGER) AS c, CAST(b AS INTEGER) AS bin, -0.25 + b * 0.03125::DOUBLE AS lo
   FROM range(3) r(c), range(16) s(b))
 SELECT c, bin, {r6_sql("lo")} AS low_edge, count(e.v) AS n
-FROM cells LEFT JOIN e ON e.i < 48 AND e.i % 3 = c AND e.v >= lo AND (e.v < lo + 0.03125 OR (bin = 15 AND e.v <= 0.25))
+FROM cells LEFT JOIN x e ON e.i % 3 = c AND e.v >= lo AND (e.v < lo + 0.03125 OR (bin = 15 AND e.v <= 0.25))
 GROUP BY c, bin, lo
 """
 
 
 def power(spark: SparkSession, directory: str) -> DataFrame:
-    rows = audit.patch_power(embeddings(spark, directory, RGB), "f")
+    rows = audit.patch_power(rgb_patches(spark, directory), "f")
     return rows.select("key", r6(F.col("value"), 9).alias("value"))
 
 
 _POWER_SQL = f"""
-WITH {LONG}, p AS (SELECT vec_id, avg(v * v) AS p FROM e WHERE i < 48 GROUP BY vec_id)
+WITH {LONG}, {RGB_LONG}, p AS (SELECT vec_id, avg(v * v) AS p FROM x GROUP BY vec_id)
 SELECT 'mean' AS key, {r6_sql("avg(p)", 9)} AS value FROM p
 UNION ALL SELECT 'median', {r6_sql("quantile_cont(p, 0.5)", 9)} FROM p
 UNION ALL SELECT 'p05', {r6_sql("quantile_cont(p, 0.05)", 9)} FROM p
@@ -375,43 +455,40 @@ SELECT {r6_sql("max(c)")} AS max_nearest_cosine, {r6_sql("avg(c)")} AS mean_near
 
 
 def audit_metrics(spark: SparkSession, directory: str) -> DataFrame:
-    """The audit in tall form, without the parts SQL cannot restate."""
-    patches = embeddings(spark, directory, RGB)
-    tagged = patches.withColumn("feat", features.opponent_dc_features(F.col("f")))
+    """The whole audit of the crops in tall form."""
+    tagged = rgb_crops(spark, directory).withColumn("feat", features.opponent_dc_features(F.col("f")))
     train, test = tagged.filter(F.col("role") == "train"), tagged.filter(F.col("role") == "test")
-    stats = fit_whitening(train, "feat", width=RGB)
-    metrics = audit.audit_metrics(
-        train, "f", train, test, "feat", "vec_id", stats, low=-0.25, high=0.25, bins=8
-    )
-    stated = ~F.col("metric").isin("whitening_covariance") & ~F.col("key").startswith("after.")
-    return metrics.filter(stated).select("metric", "key", r6(F.col("value")).alias("value"))
+    stats = fit_whitening(train, "feat", width=12)
+    metrics = audit.audit_metrics(train, "f", train, test, "feat", "crop_id", stats, low=-0.25, high=0.25, bins=8)
+    return metrics.select("metric", "key", r6(F.col("value"), 5).alias("value"))
 
 
 _AUDIT_SQL = f"""
-WITH {LONG}, {_PIXELS}, {_OPPONENT}, {_FEATURES},
-t AS (SELECT * FROM e WHERE i < 48 AND label < 7),
-p AS (SELECT avg(v * v) AS p FROM t GROUP BY vec_id),
-ft AS (SELECT v FROM fe WHERE label < 7),
-u AS (SELECT vec_id, label, list(v / n ORDER BY i) AS u FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS n FROM fe)
-  GROUP BY ALL),
-tr AS (SELECT * FROM u WHERE label < 7 ORDER BY vec_id LIMIT 512),
-te AS (SELECT * FROM u WHERE label >= 9 ORDER BY vec_id LIMIT 512),
-nn AS (SELECT max(list_dot_product(te.u, tr.u)) AS c FROM te, tr GROUP BY te.vec_id),
+WITH {LONG}, {_CROP_FEATURES}, {_whitened_sql("cf", "crop_id", 12, 30)}, {_OFF.format("crop_id")},
+t AS (SELECT * FROM cr WHERE label < 7),
+p AS (SELECT avg(v * v) AS p FROM t GROUP BY crop_id),
+ft AS (SELECT v FROM cf WHERE label < 7), aft AS (SELECT w AS v FROM wh WHERE label < 7),
+u AS MATERIALIZED (SELECT crop_id, label, list(v / n ORDER BY i) AS u
+  FROM (SELECT *, greatest(sqrt(sum(v * v) OVER (PARTITION BY crop_id)), 1e-12) AS n FROM cf) GROUP BY ALL),
+nn AS (SELECT max(list_dot_product(te.u, tr.u)) AS c FROM u te, u tr WHERE te.label >= 9 AND tr.label < 7 GROUP BY te.crop_id),
 h AS (SELECT c, b, count(t.v) AS n FROM range(3) r(c), range(8) s(b) LEFT JOIN t ON t.i % 3 = c AND t.v >= -0.25 + b * 0.0625
   AND (t.v < -0.25 + (b + 1) * 0.0625 OR (b = 7 AND t.v <= 0.25)) GROUP BY ALL)
-SELECT 'counts' AS metric, 'n_train_features' AS key, {r6_sql("count(*)::DOUBLE")} AS value FROM embeddings WHERE label < 7
-UNION ALL SELECT 'counts', 'n_test_features', {r6_sql("count(*)::DOUBLE")} FROM embeddings WHERE label >= 9
+SELECT 'counts' AS metric, 'n_train_features' AS key, {r6_sql("count(*)::DOUBLE")} AS value FROM u WHERE label < 7
+UNION ALL SELECT 'counts', 'n_test_features', {r6_sql("count(*)::DOUBLE")} FROM u WHERE label >= 9
 UNION ALL SELECT 'channel_histograms', 'c' || c || '.bin' || lpad(CAST(b AS VARCHAR), 4, '0'), {r6_sql("n::DOUBLE")} FROM h
-UNION ALL SELECT 'patch_power', 'mean', {r6_sql("avg(p)")} FROM p
-UNION ALL SELECT 'patch_power', 'median', {r6_sql("quantile_cont(p, 0.5)")} FROM p
-UNION ALL SELECT 'patch_power', 'p05', {r6_sql("quantile_cont(p, 0.05)")} FROM p
-UNION ALL SELECT 'patch_power', 'p95', {r6_sql("quantile_cont(p, 0.95)")} FROM p
-UNION ALL SELECT 'train_test_similarity', 'max_nearest_cosine', {r6_sql("max(c)")} FROM nn
-UNION ALL SELECT 'train_test_similarity', 'mean_nearest_cosine', {r6_sql("avg(c)")} FROM nn
-UNION ALL SELECT 'whitening_before_after', 'before.mean', {r6_sql("avg(v)")} FROM ft
-UNION ALL SELECT 'whitening_before_after', 'before.std', {r6_sql("stddev_pop(v)")} FROM ft
-UNION ALL SELECT 'whitening_before_after', 'before.min', {r6_sql("min(v)")} FROM ft
-UNION ALL SELECT 'whitening_before_after', 'before.max', {r6_sql("max(v)")} FROM ft
+UNION ALL SELECT 'patch_power', 'mean', {r6_sql("avg(p)", 5)} FROM p
+UNION ALL SELECT 'patch_power', 'median', {r6_sql("quantile_cont(p, 0.5)", 5)} FROM p
+UNION ALL SELECT 'patch_power', 'p05', {r6_sql("quantile_cont(p, 0.05)", 5)} FROM p
+UNION ALL SELECT 'patch_power', 'p95', {r6_sql("quantile_cont(p, 0.95)", 5)} FROM p
+UNION ALL SELECT 'whitening_covariance', 'max_abs_off_identity', {r6_sql("max(o)", 5)} FROM off
+UNION ALL SELECT 'whitening_covariance', 'mean_abs_off_identity', {r6_sql("avg(o)", 5)} FROM off
+UNION ALL SELECT 'train_test_similarity', 'max_nearest_cosine', {r6_sql("max(c)", 5)} FROM nn
+UNION ALL SELECT 'train_test_similarity', 'mean_nearest_cosine', {r6_sql("avg(c)", 5)} FROM nn
+{"".join(
+    f"UNION ALL SELECT 'whitening_before_after', '{when}.{name}', {r6_sql(f'{fn}(v)', 5)} FROM {table} "
+    for when, table in (("before", "ft"), ("after", "aft"))
+    for name, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))
+)}
 """
 
 
@@ -453,7 +530,8 @@ BOUND = {
     "global_rms": Bound(global_rms, _GLOBAL_SQL),
     "row_rms": Bound(row_rms, _ROW_SQL),
     "cov_matrix": Bound(cov_matrix, _COV_SQL),
-    "whiten_roundtrip": Bound(whiten_roundtrip, f"WITH {LONG} SELECT vec_id, i, {r6_sql('v')} AS v FROM e"),
+    "whiten_roundtrip": Bound(whiten_roundtrip, _ROUNDTRIP_SQL),
+    "whiten_pairs": Bound(whiten_pairs, _PAIRS_SQL),
     "whiten_check": Bound(whiten_check, _WHITEN_SQL),
     "representation_fit_apply": Bound(representation_fit_apply, _FIT_SQL),
     "snr_sigma": Bound(snr_sigma, _SIGMA_SQL),

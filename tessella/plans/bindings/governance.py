@@ -177,7 +177,7 @@ parts AS (SELECT path, string_split_regex(text, '{breaks}') AS ls FROM corpus
 lines AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS lineno, len(ls) AS n FROM parts),
 probes AS (SELECT path, CAST(lineno AS INTEGER) AS lineno, line, {stripped} AS probe FROM lines
   WHERE NOT (lineno = n AND line = '') AND NOT contains(line, '{EXEMPT_MARKER}'))
-SELECT path, lineno, pattern, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 120) AS snippet FROM ({matches})
+SELECT path, lineno, pattern, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet FROM ({matches})
 UNION ALL SELECT path, 0, 'tracked-private-note', 'this file must never be tracked' FROM corpus WHERE path LIKE '%.local.md'
 """
 

@@ -9,7 +9,17 @@ from tessella.functions.dihedral import AUGMENTATIONS, augment, moved_position
 from tessella.operators import patches
 from tessella.operators.patches import PatchConfig
 from tessella.plans import tracks
-from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql, uniform_sql
+from tessella.plans.bindings.common import (
+    LONG,
+    RGB_LONG,
+    Bound,
+    embeddings,
+    entries,
+    normal_sql,
+    r6_sql,
+    rgb_patches,
+    uniform_sql,
+)
 from tessella.session import r6, read_table
 
 # Events as one raster per event type: day of month by hour, summed values.
@@ -107,8 +117,9 @@ FROM (SELECT DISTINCT image_id FROM ras) LEFT JOIN k USING (image_id) GROUP BY i
 """
 
 
-def _square_images(spark: SparkSession, directory: str, length: int, side: int, channels: int) -> DataFrame:
-    return embeddings(spark, directory, length, spread=True).select(
+def _square_images(spark: SparkSession, directory: str, side: int, channels: int) -> DataFrame:
+    source = rgb_patches if channels == 3 else embeddings
+    return source(spark, directory, spread=True).select(
         F.col("vec_id").alias("image_id"),
         "role",
         F.lit(side).alias("height"),
@@ -119,15 +130,15 @@ def _square_images(spark: SparkSession, directory: str, length: int, side: int,
 
 
 def grid_patch_arrays(spark: SparkSession, directory: str) -> DataFrame:
-    """Array form: 4x4 RGB embeddings into 2x2 patches, unfolded again."""
-    cut = patches.grid_patches(_square_images(spark, directory, 48, 4, 3), 2, 2)
+    """Array form: 8x8 RGB embeddings into 2x2 patches, unfolded again."""
+    cut = patches.grid_patches(_square_images(spark, directory, 8, 3), 2, 2)
     rows = patches.patch_pixels(cut, 2, 3)
     return rows.withColumn("v", r6(F.col("v")))
 
 
 _ARRAYS_SQL = f"""
-WITH {LONG}, q AS (SELECT vec_id, CAST(i // 12 AS INTEGER) AS y, CAST(i // 3 % 4 AS INTEGER) AS x, CAST(i % 3 AS INTEGER) AS c, v
-  FROM e WHERE i < 48)
+WITH {LONG}, {RGB_LONG}, q AS (SELECT vec_id, CAST(i // 24 AS INTEGER) AS y, CAST(i // 3 % 8 AS INTEGER) AS x, CAST(i % 3 AS INTEGER) AS c, v
+  FROM x)
 SELECT vec_id AS image_id, y - y % 2 AS top, x - x % 2 AS left, y % 2 AS dy, x % 2 AS dx, c, {r6_sql("v")} AS v FROM q
 """
 
@@ -136,7 +147,7 @@ _RANDOM = PatchConfig(size=4, n_random=3, border=1, augment=True)
 
 def random_patches(spark: SparkSession, directory: str) -> DataFrame:
     crops = patches.random_patches(
-        _square_images(spark, directory, 64, 8, 1), _RANDOM, dataset="embeddings", seed=7
+        _square_images(spark, directory, 8, 1), _RANDOM, dataset="embeddings", seed=7
     )
     return entries(crops, "values", "image_id", "patch_index", "top", "left", "aug", index="pos")
 
@@ -202,8 +213,8 @@ _TRACK_SIGMAS = (0.1, 0.4)
 
 
 def denoising_track(spark: SparkSession, directory: str) -> DataFrame:
-    """Grid patches, own scale, fixed noise, scale undone, Hann blend; RGB 4x4 embeddings."""
-    images = _square_images(spark, directory, 48, 4, 3)
+    """Grid patches, own scale, fixed noise, scale undone, Hann blend; RGB 8x8 embeddings."""
+    images = _square_images(spark, directory, 8, 3)
     noisy = tracks.color_rgb_patches(images, seed=9, patches=_TRACK, sigmas=_TRACK_SIGMAS)
     rows = tracks.color_rgb_images(noisy, "noisy", size=2)
     return rows.select("image_id", "sigma", "y", "x", "c", r6(F.col("v")).alias("v"))
@@ -211,10 +222,10 @@ def denoising_track(spark: SparkSession, directory: str) -> DataFrame:
 
 _DRAW = normal_sql("sha256('9|' || vec_id || '|' || top || '|' || lf || '|' || ((dy * 2 + dx) * 3 + c))")
 _TRACK_SQL = f"""
-WITH {LONG}, q AS (SELECT vec_id, CAST(i // 12 AS INTEGER) AS y, CAST(i // 3 % 4 AS INTEGER) AS x, CAST(i % 3 AS INTEGER) AS c, v
-  FROM e WHERE i < 48),
+WITH {LONG}, {RGB_LONG}, q AS (SELECT vec_id, CAST(i // 24 AS INTEGER) AS y, CAST(i // 3 % 8 AS INTEGER) AS x, CAST(i % 3 AS INTEGER) AS c, v
+  FROM x),
 g AS (SELECT q.*, CAST(t AS INTEGER) AS top, CAST(l AS INTEGER) AS lf, CAST(y - t AS INTEGER) AS dy, CAST(x - l AS INTEGER) AS dx
-  FROM q, range(3) a(t), range(3) b(l) WHERE y - t BETWEEN 0 AND 1 AND x - l BETWEEN 0 AND 1),
+  FROM q, range(7) a(t), range(7) b(l) WHERE y - t BETWEEN 0 AND 1 AND x - l BETWEEN 0 AND 1),
 s AS (SELECT *, greatest(sqrt(avg(v * v) OVER (PARTITION BY vec_id, top, lf)), 1e-8) AS scale FROM g),
 n AS (SELECT *, v + scale * sigma * {_DRAW} AS z,
   greatest(0.5 - 0.5 * cos(2 * pi() * (dy + 1) / 3), 1e-3) * greatest(0.5 - 0.5 * cos(2 * pi() * (dx + 1) / 3), 1e-3) AS w
@@ -225,7 +236,7 @@ SELECT vec_id AS image_id, sigma, y, x, c, {r6_sql("sum(w * z) / sum(w)")} AS v
 
 def representation_track(spark: SparkSession, directory: str) -> DataFrame:
     """Keyed crops, train-only fit and calibrated noise; SNR per role and level, rounded to 0.5 dB."""
-    images = _square_images(spark, directory, 48, 4, 3)
+    images = _square_images(spark, directory, 8, 3)
     config = PatchConfig(size=3, n_random=8, augment=True)
     _, noisy = tracks.color_whitened(images, dataset="embeddings", seed=3, patches=config)
     gap = F.zip_with("noisy", "clean", lambda a, b: a - b)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.guards import choice
 from tessella.operators import ledger, lineage
 from tessella.operators.audit import audit_metrics, audit_report
 from tessella.operators.features import opponent_dc_features
@@ -23,22 +24,22 @@ from tessella.sources.files import scan_images, scan_tree
 from tessella.sources.ledgers import read_pins, record_pins, write_terms
 from tessella.sources.models import write_json_record
 from tessella.sources.registry import (
-    REGISTRY,
     archive_table,
-    dataset_ids,
-    get_dataset,
+    dataset_names,
+    predicted_ids,
     registry_table,
+    roles_of,
 )
 from tessella.sources.synthetic import synthetic_images, unit_values
 from tessella.sources.tables import read_manifest
 
 
 def require_clean(report: DataFrame, what: str) -> None:
-    """Raise with the first few problems of a non-empty report."""
+    """Raise with the number of problems of a non-empty report, and some of them."""
     rows = report.limit(10).collect()
     if rows:
         listed = "; ".join(" ".join(str(v) for v in row) for row in rows)
-        raise ValueError(f"{what} failed: {listed}")
+        raise ValueError(f"{what} failed with {report.count()} problems, among them: {listed}")
 
 
 def check_dataset(
@@ -52,15 +53,11 @@ def check_dataset(
     allowed_modes: set[str] | None = None,
 ) -> DataFrame:
     """Problem report of a dataset's manifest and, given ``root``, of its stored images."""
-    if dataset != "synthetic" and dataset.lower() not in REGISTRY:
-        raise ValueError(f"unknown dataset {dataset!r}; expected synthetic or {sorted(REGISTRY)}")
+    choice("dataset", dataset.lower(), ("synthetic", *dataset_names()))
     manifest = read_manifest(spark, manifest_path)
     roles, ids = {"train"}, None
     if dataset != "synthetic":
-        spec = get_dataset(dataset)
-        roles = spec.roles
-        if spec.has_id_ranges:
-            ids = dataset_ids(spark, spec).select("split_id")
+        roles, ids = roles_of(dataset), predicted_ids(spark, dataset)
     rules = {
         "expected_counts": expected_counts,
         "allowed_formats": allowed_formats,
@@ -83,6 +80,7 @@ def audit_images(
     seed: int,
     patches: PatchConfig = PatchConfig(size=16, n_random=64),
     rng: str = "hash",
+    max_pairs: int | None = None,
 ) -> dict[str, object]:
     """Audit array-form images whose ``role`` is train or test; statistics are fitted on train."""
     crops = random_patches(images, patches, dataset=dataset_sha256, seed=seed, rng=rng)
@@ -95,7 +93,7 @@ def audit_images(
     train = features.filter(F.col("role") == "train")
     test = features.filter(F.col("role") == "test")
     stats = fit_whitening(train, "f", width=patches.size * patches.size * 3)
-    metrics = audit_metrics(train, "values", train, test, "f", "key", stats)
+    metrics = audit_metrics(train, "values", train, test, "f", "key", stats, max_pairs=max_pairs)
     return audit_report(metrics, dataset)
 
 
@@ -141,9 +139,9 @@ def accept_terms(requests: DataFrame, root: str) -> DataFrame:
 
 
 def _official_digests(spark: SparkSession, dataset: str, archive_root: str) -> DataFrame:
-    spec = get_dataset(dataset)
+    name = choice("dataset", dataset.lower(), dataset_names())
     observed = scan_tree(spark, archive_root, tagged=True).select(
-        F.lit(spec.name).alias("dataset"), F.col("rel").alias("archive"), "sha256"
+        F.lit(name).alias("dataset"), F.col("rel").alias("archive"), "sha256"
     )
     judged = ledger.judge_archive_names(observed, archive_table(spark))
     require_clean(judged.filter(~F.col("official")).select("dataset", "archive"), "archive names")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.errors import SizeBoundError
 
 # Largest model (dictionary, whitening matrix, ...) shipped to every task, in matrix cells.
-MAX_MODEL_CELLS = 1 << 26
+MAX_MODEL_CELLS = 1 << 22
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",

@@ -52,12 +52,14 @@ def record_pins(incoming: DataFrame, root: str, *, require_acceptance: bool = Tr
     spark = incoming.sparkSession
     terms = read_terms(spark, root) if require_acceptance else None
     actions = pin_actions(incoming, read_pins(spark, root), terms)
-    blocked = actions.filter(F.col("action").isin("refused", "conflict")).limit(5).collect()
-    if blocked:
-        listed = ", ".join(f"{r['dataset']}/{r['archive']}: {r['action']}" for r in blocked)
-        if any(r["action"] == "conflict" for r in blocked):
-            raise PinConflictError(f"refusing to change existing pins: {listed}")
-        raise ValueError(f"cannot pin without recorded terms: {listed}")
+    for action, error, text in (
+        ("conflict", PinConflictError, "pins that differ from the recorded ones"),
+        ("refused", ValueError, "archives of datasets without accepted terms"),
+    ):
+        blocked = actions.filter(F.col("action") == action)
+        if n := blocked.count():
+            shown = ", ".join(f"{r['dataset']}/{r['archive']}" for r in blocked.limit(5).collect())
+            raise error(f"{n} {text}, among them {shown}")
     fresh = actions.filter(F.col("action") == "insert").select(
         "dataset",
         "archive",

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tessella.errors import RecordSchemaError
 from tessella.operators.records import first_problems, validate_whitening_records
@@ -32,6 +32,16 @@ def read_json_record(spark: SparkSession, path: str) -> dict[str, object]:
     return json.loads(rows[0][0])
 
 
+def require_valid(
+    spark: SparkSession, payload: Mapping[str, object], report: Callable[[DataFrame], DataFrame]
+) -> Mapping[str, object]:
+    """The payload, if a validator of ``(id, json)`` tables finds nothing in it."""
+    frame = spark.createDataFrame([("model", json.dumps(payload))], "id string, json string")
+    for problem in bounded_rows(first_problems(report(frame)), 1, "problems"):
+        raise RecordSchemaError(f"{problem['rule']}: {problem['label'] or 'record'}")
+    return payload
+
+
 def whitening_to_dict(stats: WhiteningStats) -> dict[str, object]:
     return {
         "schema_version": MODEL_SCHEMA_VERSION,
@@ -48,12 +58,7 @@ def whitening_to_dict(stats: WhiteningStats) -> dict[str, object]:
 
 def whitening_from_dict(spark: SparkSession, payload: Mapping[str, object]) -> WhiteningStats:
     """Validate one artifact with the same rules as a table of artifacts, then load it."""
-    frame = spark.createDataFrame([("model", json.dumps(payload))], "id string, json string")
-    problems = bounded_rows(
-        first_problems(validate_whitening_records(frame, "id", "json")), 1, "problems"
-    )
-    if problems:
-        raise RecordSchemaError(f"{problems[0]['rule']}: {problems[0]['label'] or 'record'}")
+    require_valid(spark, payload, lambda df: validate_whitening_records(df, "id", "json"))
     return WhiteningStats(
         mean=np.array(payload["mean"], dtype=float),
         whiten=np.array(payload["whiten"], dtype=float),

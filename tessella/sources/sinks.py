@@ -28,7 +28,7 @@ def write_new(
         writer.options(**options).save(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_ALREADY_EXISTS":
-            raise OutputExistsError(f"refusing to overwrite existing output: {path}") from exc
+            raise OutputExistsError(f"{path} is already there; pass overwrite to replace it") from exc
         raise
 
 

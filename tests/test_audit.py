@@ -103,3 +103,35 @@ def test_opposed_vectors_keep_negative_cosines(spark):
 def test_percentile_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "v double")
     assert audit.exact_percentiles(empty, "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("broadcast_rows", [1 << 16, 0])
+def test_nearest_cosine_keeps_rows_of_repeated_and_null_keys(spark, broadcast_rows):
+    train = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.6, 0.8]), (None, [0.0, 1.0])], "id long, f array<double>")
+    rows = [(7, [1.0, 1.0]), (7, [0.1, 1.0]), (None, [3.0, 0.2]), (9, [1.0, 1.0]), (9, [1.0, 1.0])]
+    test = spark.createDataFrame(rows, "id long, f array<double>")
+    got = nearest_cosine(train, test, "f", "id", broadcast_rows=broadcast_rows).collect()
+    want = best_cosine(np.array([[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]), np.array([r[1] for r in rows]))
+    assert sorted(((r.id or 0), round(r.cosine, 9)) for r in got) == sorted(
+        ((r[0] or 0), round(c, 9)) for r, c in zip(rows, want)
+    )
+
+
+def test_first_rows_with_null_and_tied_keys(spark):
+    frame_ = spark.createDataFrame([(None, 1), (3, 2), (1, 3), (1, 4), (2, 5)], "id int, v int")
+    assert [r.id for r in similarity.first_rows(frame_, "id", 3).collect()] == [None, 1, 1]
+    assert similarity.first_rows(frame_, "id", 9).count() == 5
+    assert similarity.first_rows(frame_.limit(0), "id", 2).count() == 0
+
+
+@pytest.mark.parametrize("in_memory", [1000, 1])
+def test_percentiles_of_nan_are_nan(spark, in_memory):
+    values = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (4.0,)], "v double")
+    assert all(np.isnan(q) for q in audit.exact_percentiles(values, "v", [0.5, 0.1], in_memory=in_memory))
+
+
+def test_value_moments_by_entry(spark):
+    rows = [[1.0, 2.0, 4.0], [0.5], [], None, [-3.0, 8.0]]
+    got = {r.key: r.value for r in audit.value_moments(spark.createDataFrame([(r,) for r in rows], "f array<double>"), "f").collect()}
+    flat = np.array([v for r in rows for v in (r or [])])
+    np.testing.assert_allclose([got["mean"], got["std"], got["min"], got["max"]], [flat.mean(), flat.std(), flat.min(), flat.max()])

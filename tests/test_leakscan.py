@@ -44,11 +44,13 @@ def test_marker_exempts_its_line_only(spark):
     assert [f[1] for f in scan(spark, ("a", f"{bad} leak-scan-allow\n{bad}"))] == [2]
 
 
-def test_one_finding_per_pattern_and_short_snippet(spark):
+def test_one_finding_per_pattern_and_whole_line(spark):
     line = "/home/alice/ /scratch/alice " + "x" * 200
     found = scan(spark, ("a", line))
     assert [f[2] for f in found] == ["abs-home-path", "abs-scratch-path"]
-    assert {len(f[3]) for f in found} == {120}
+    assert {f[3] for f in found} == {line}
+    short = scan_texts(spark.createDataFrame([("a", line)], "path string, text string"), snippet_length=120)
+    assert {len(r.snippet) for r in short.collect()} == {120}
 
 
 def test_paths(spark):

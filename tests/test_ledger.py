@@ -91,18 +91,19 @@ def test_archives_on_storage(spark, tmp_path):
 
 
 def test_registry(spark):
-    assert registry.registered_datasets() == ("bsds500", "div2k")
-    assert registry.get_dataset("DIV2K").name == "div2k"
-    with pytest.raises(KeyError):
-        registry.get_dataset("mnist")
-    ids = registry.dataset_ids(spark, registry.DIV2K)
-    assert ids.count() == 900 and ids.first()["split_id"] == "0001"
-    assert registry.dataset_ids(spark, registry.DIV2K.by_role("train")).count() == 720
+    assert registry.dataset_names() == ("bsds500", "div2k")
+    assert registry.roles_of("DIV2K") == {"train", "val", "test"}
+    with pytest.raises(ValueError):
+        registry.splits_of("mnist")
+    ids = registry.dataset_ids(spark, "DIV2K")
+    assert ids.count() == 900 and ids.agg({"split_id": "min"}).first()[0] == "0001"
+    assert registry.dataset_ids(spark, "div2k", "train").count() == 720
+    assert registry.predicted_ids(spark, "bsds500") is None
     wide = registry.splits_table(spark).filter("dataset = 'div2k'")
     assert registry.expand_ranges(wide, chunk=7).select("id").distinct().count() == 900
     located = registry.assign_roles(spark.range(1, 901).withColumnRenamed("id", "n"), "n", wide, chunk=64)
     counts = {r["role"]: r["count"] for r in located.groupBy("role").count().collect()}
     assert counts == {"train": 720, "val": 80, "test": 100}
     with pytest.raises(ValueError):
-        registry.Split("x", 2, 1, "train")
+        registry.checked_splits((("d", "x", 2, 1, "train"),))
     assert jobs.list_datasets(spark).count() == 2

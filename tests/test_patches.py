@@ -36,7 +36,7 @@ def test_grid_positions_reach_the_far_edge(spark):
     frame = spark.createDataFrame([(50,), (16,), (24,), (23,)], "n int")
     got = [r[0] for r in frame.select(pt.grid_positions(F.col("n"), 16, 8)).collect()]
     assert got == [[0, 8, 16, 24, 32, 34], [0], [0, 8], [0, 7]]
-    with pytest.raises(Exception, match="smaller than patch"):
+    with pytest.raises(Exception, match="shorter than a patch"):
         spark.range(1).select(pt.grid_positions(F.lit(15), 16, 8)).collect()
 
 
