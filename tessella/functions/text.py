@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,26 +73,37 @@ def resolve_under_root(root: str, path: Column) -> Column:
     )
 
 
-_ISO_SHAPE = (
-    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+_ISO_TIME = (
     r"(?:[\s\S](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,]\d+)?)?)?"
     r"(?:Z|[+-](\d{2})(?::?(\d{2})(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
 )
+# Groups: year, separator, month or week, day; then the parts of the time and zone.
+_ISO_SHAPE = r"^(\d{4})(-?)(\d{2})\2(\d{2})" + _ISO_TIME
+_ISO_WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2(\d))?" + _ISO_TIME
 
 
 def is_iso8601(value: Column) -> Column:
-    """ISO-8601 calendar date or timestamp, extended or basic, optionally with a zone."""
+    """ISO-8601 calendar or week date or timestamp, extended or basic, optionally with a zone."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(value, _ISO_SHAPE, group)
+    def below(shape: str, group: int, limit: int) -> Column:
+        part = F.regexp_extract(value, shape, group)
+        return F.coalesce(F.try_to_number(part, F.lit("99")), F.lit(0)) < limit
 
-    def below(group: int, limit: int) -> Column:
-        return F.coalesce(F.try_to_number(part(group), F.lit("99")), F.lit(0)) < limit
+    def fits(shape: str) -> Column:
+        ranges = [below(shape, group, limit) for group, limit in ((5, 24), (7, 60), (8, 60), (9, 24), (10, 60))]
+        year = F.regexp_extract(value, shape, 1) != "0000"
+        return reduce(and_, ranges, value.rlike(shape) & year)
+
+    def calendar(group: int) -> Column:
+        return F.regexp_extract(value, _ISO_SHAPE, group)
 
-    day = F.concat_ws("-", part(1), part(3), part(4))
-    in_range = below(5, 24) & below(7, 60) & below(8, 60) & below(9, 24) & below(10, 60)
-    real_day = F.try_to_date(day, "yyyy-MM-dd").isNotNull() & (part(1) != "0000")
-    return F.coalesce(value.rlike(_ISO_SHAPE) & real_day & in_range, F.lit(False))
+    real_day = F.try_to_date(F.concat_ws("-", calendar(1), calendar(3), calendar(4)), "yyyy-MM-dd").isNotNull()
+    week = F.regexp_extract(value, _ISO_WEEK, 3).try_cast("int")
+    # The 28th of December lies in the last week of its year.
+    last = F.weekofyear(F.try_to_date(F.concat(F.regexp_extract(value, _ISO_WEEK, 1), F.lit("-12-28")), "yyyy-MM-dd"))
+    weekday = F.regexp_extract(value, _ISO_WEEK, 4)
+    real_week = week.between(1, last) & ((weekday == "") | weekday.between("1", "7"))
+    return F.coalesce((fits(_ISO_SHAPE) & real_day) | (fits(_ISO_WEEK) & real_week), F.lit(False))
 
 
 def matches_leak(text: Column, lowered: Column, pattern: str, needles: tuple[str, ...]) -> Column:

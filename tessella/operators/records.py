@@ -6,13 +6,18 @@ import hashlib
 import json
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import first_leak, is_digest
+from tessella.functions.text import LEAK_NEEDLES, LEAK_PATTERNS, first_leak, is_digest
+
+# Without one of these, no pattern can match; every pattern has its own.
+ALL_NEEDLES = sorted({needle for name, _ in LEAK_PATTERNS for needle in LEAK_NEEDLES[name]})
 
 Violation = tuple[str, str, Column]  # rule, label, condition
 
@@ -47,11 +52,14 @@ class _Record:
     """
 
     PARSED = "_record"
+    LEAKS = "_leaks"
 
     def __init__(self, json_column: str) -> None:
         self.text = F.col(json_column)
         self.variant = F.col(self.PARSED)
         self.paths: dict[str, str] = {}
+        self.texts: dict[str, str] = {}
+        self.leak_fields: list[str] = []
 
     def parse(self, df: DataFrame) -> DataFrame:
         if self.PARSED in df.columns:
@@ -63,7 +71,23 @@ class _Record:
             F.schema_of_variant(F.try_variant_get(self.variant, _json_path(p), "variant")).alias(a)
             for p, a in self.paths.items()
         ]
-        return self.parse(df).select("*", F.inline(F.array(F.struct(*types))))
+        texts = [F.try_variant_get(self.variant, _json_path(p), "string").alias(a) for p, a in self.texts.items()]
+        found = self.parse(df).select("*", F.inline(F.array(F.struct(*types, *texts))))
+        if self.LEAKS in df.columns or not self.leak_fields:
+            return found
+        # All texts that leaks are looked for in are searched together; few records have any needle at all.
+        joined = F.lower(F.concat_ws("\n", *[self.string(p) for p in self.leak_fields]))
+        near = F.exists(F.array(joined), lambda text: reduce(or_, [text.contains(n) for n in ALL_NEEDLES]))
+        return found.select("*", F.inline(F.array(F.struct(near.alias(self.LEAKS)))))
+
+    def string(self, path: str) -> Column:
+        """The text at a path, looked up once per record."""
+        return F.col(self.texts.setdefault(path, f"_text{len(self.texts)}"))
+
+    def leak_shaped(self, path: str) -> Column:
+        text = self.string(path)
+        self.leak_fields.append(path)
+        return F.col(self.LEAKS) & first_leak(text).isNotNull()
 
     def is_object(self) -> Column:
         return self.variant.isNotNull() & F.ltrim(self.text).startswith("{")
@@ -121,13 +145,13 @@ def _field_violations(record: _Record, path: str, field: Field) -> list[Violatio
     if not field.nullable:
         wrong = wrong | (type_name == "VOID")
     out.append(("wrong_type", path, wrong))
-    text = record.get(path, "string")
+    text = record.string(path)
     if field.one_of is not None:
         out.append(("unknown_value", path, fits & ~text.isin(*field.one_of)))
     if field.kind == "digest":
         out.append(("bad_digest", path, fits & ~is_digest(text)))
     if field.kind == "safe_str":
-        out.append(("leak_shaped", path, fits & first_leak(text).isNotNull()))
+        out.append(("leak_shaped", path, fits & record.leak_shaped(path)))
     if field.kind == "float":
         number = record.get(path, "double")
         endless = number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
@@ -285,14 +309,14 @@ def validate_environment_records(df: DataFrame, key: str, json_column: str) -> D
     prepared = df.withColumn("expected_fp", environment_fingerprint(F.col(json_column)))
     record = _Record(json_column)
     violations = closed_schema_violations(record, ENVIRONMENT_SCHEMA)
-    canonical = record.get("reference_compatibility_status", "string").isin(*CANONICAL)
+    canonical = record.string("reference_compatibility_status").isin(*CANONICAL)
     violations.append(
         ("incomplete", "uv_lock_sha256", canonical & (record.type_of("uv_lock_sha256") == "VOID"))
     )
     for parent in ("torch", "runtime"):
         violations.append(("incomplete", parent, canonical & (F.size(record.keys(parent)) == 0)))
     field = "execution_environment_fingerprint"
-    stated = record.get(field, "string")
+    stated = record.string(field)
     differs = is_digest(stated) & ~stated.eqNullSafe(F.col("expected_fp"))
     violations.append(("fingerprint_mismatch", field, differs))
     return _report(prepared, key, record, violations)

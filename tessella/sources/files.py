@@ -15,19 +15,22 @@ from tessella.functions.keyed import tagged_sha256
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``, whatever scheme prefix either side carries."""
-    inner = F.lit("/" + re.sub(_SCHEME, "", root).strip("/") + "/")
+def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
+    """Path below ``root``, which its file system makes absolute; a root that is a file leaves its name."""
+    context = spark.sparkContext
+    given = context._jvm.org.apache.hadoop.fs.Path(root)
+    absolute = given.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    prefix = "/" + re.sub(_SCHEME, "", absolute).strip("/") + "/"
     located = F.concat(F.lit("/"), F.regexp_replace(path, _SCHEME, ""))
-    start = F.instr(located, inner) + F.length(inner)
-    return F.substring(located, start, F.length(located))
+    below = F.substring(located, F.lit(len(prefix) + 1), F.length(located))
+    return F.when(located.startswith(prefix), below).otherwise(F.element_at(F.split(located, "/"), -1))
 
 
 def _binary_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).withColumn("rel", relative_path(F.col("path"), root))
+    return reader.load(root).withColumn("rel", relative_path(spark, F.col("path"), root))
 
 
 def scan_tree(spark: SparkSession, root: str, *, tagged: bool = False) -> DataFrame:
@@ -72,6 +75,8 @@ _MAGIC = (
     ("4D4D002A", "TIFF"),
 )
 _MODES = {1: "L", 3: "RGB", 4: "RGBA"}
+# Fixed values of PNG headers: bit depth and colour type, where they say more than the decoder's channels.
+_PNG_MODES = {"0100": "1", "1000": "I;16", "0103": "P", "0203": "P", "0403": "P", "0803": "P", "0804": "LA", "1004": "LA", "0806": "RGBA", "1006": "RGBA"}
 
 
 def image_format(content: Column) -> Column:
@@ -82,6 +87,12 @@ def image_format(content: Column) -> Column:
     return chain.otherwise("UNKNOWN")
 
 
+def stored_mode(content: Column) -> Column:
+    """Mode a PNG header states, or null where the decoded channels tell it."""
+    states = F.create_map(*[F.lit(v) for pair in _PNG_MODES.items() for v in pair])
+    return F.when(image_format(content) == "PNG", F.try_element_at(states, F.hex(F.substring(content, 25, 2))))
+
+
 def _pixel_digests(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
     """Digest decoded pixels after reordering the decoder's BGR(A) bytes to RGB(A)."""
     out = []
@@ -114,19 +125,21 @@ def scan_images(
     digest = F.arrow_udf(_pixel_digests, "string")
     mode = F.create_map(*[F.lit(v) for pair in _MODES.items() for v in pair])
     decoded = reader.load(root).select(
-        relative_path(F.col("image.origin"), root).alias("relative_path"),
+        relative_path(spark, F.col("image.origin"), root).alias("relative_path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
-        F.try_element_at(mode, F.col("image.nChannels")).alias("mode"),
+        F.try_element_at(mode, F.col("image.nChannels")).alias("decoded_mode"),
         (F.col("image.height") < 1).alias("corrupt"),
         digest("image.data", "image.height", "image.width", "image.nChannels").alias("content_sha256"),
     )
     stored = _binary_files(spark, root, glob).select(
         F.col("rel").alias("relative_path"),
         image_format(F.col("content")).alias("format"),
+        stored_mode(F.col("content")).alias("stored_mode"),
         (tagged_sha256(F.col("content")) if include_file_hash else F.lit("")).alias("sha256"),
     )
-    return decoded.join(stored, "relative_path")
+    joined = decoded.join(stored, "relative_path")
+    return joined.withColumn("mode", F.coalesce("stored_mode", "decoded_mode")).drop("stored_mode", "decoded_mode")
 
 
 def manifest_from_images(scan: DataFrame, split_id: Column, role: Column) -> DataFrame:
