@@ -30,7 +30,7 @@ from pyspark.sql.types import StringType
 from tessella.llm.common import fresh, sent_if_small, written
 
 SPAN = 1 << 19  # string starts handled at a time; longer texts are walked span by span
-GROUP = 1024  # runs of one sample that a task ranks together; more are dealt out by string
+GROUP = 1024  # runs of one sample that a task ranks together; more are dealt out by wider ranks, then by string
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
@@ -346,6 +346,46 @@ def _judge_strings(sampling: Sampling):
     return run
 
 
+def _wider_ranks(sampling: Sampling):
+    """Runs of hot samples to parts of them that also share what stands beside the sample.
+
+    A string reaches ``side`` bytes beyond its first sample on the right, or else on the left; the sample's
+    rank is doubled with that side's, so contexts that differ part, and a run becomes a few rows.
+    """
+    side = (sampling.length - sampling.gram) // 2
+    size = sampling.gram + side
+    power = 1 << (size.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ords = batch.column("ord").to_numpy()
+            start, count, _ = unpack(batch.column("place").to_numpy())
+            data, offsets = _texts(batch.column("bytes"))
+            ranks = doubled(data, sampling.gram)
+            owner = np.repeat(batch.column("sample").to_numpy().view(np.uint64), np.diff(offsets))[: len(ranks)]
+            places = np.flatnonzero(ranks == owner)
+            row = np.repeat(np.arange(len(ords)), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = offsets[row] + nth
+            sample_at = places[np.searchsorted(places, at)]
+            right = sample_at - at <= side
+            begin = np.where(right, sample_at, sample_at - side)
+            wide = doubled(data, power)
+            key = wide[begin] * _MULTIPLY + wide[begin + size - power]
+            key ^= key >> np.uint64(32)
+            key = key * _AGAIN ^ right.astype(np.uint64)
+            first = np.flatnonzero(_new(row, key))
+            number = np.diff(np.concatenate((first, [len(row)])))
+            pieces = [data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at[first] + number - 1 + sampling.length).tolist(), strict=True)]
+            place = pack(start[row[first]] + nth[first], number, DIFFERING)
+            columns = [pa.array(key[first].view(np.int64)), pa.array(ords[row[first]]), pa.array(place), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample", "ord", "place", "bytes"])
+
+    return run
+
+
 def _strings(sampling: Sampling):
     """Runs to rows (left, right, ord, place) of their strings; those repeated inside the batch are settled."""
 
@@ -392,6 +432,18 @@ def _judge_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _RANKED = "sample long, run long, ord long, place long"
+_BYTES = "sample long, ord long, place long, bytes binary"
+
+
+def _by_size(runs: DataFrame, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """Runs of samples that have at most ``group`` runs, and the others, if any."""
+    sizes = runs.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(sizes.where(F.col("n") > group).select("sample"), "suffix-hot")
+    if hot.isEmpty():
+        return runs, None
+    hot = sent_if_small(hot)
+    few, many = (runs.join(hot, "sample", how).select(*runs.columns) for how in ("left_anti", "left_semi"))
+    return few, many
 
 
 def repeated_places(documents: DataFrame, length: int, group: int = GROUP) -> DataFrame:
@@ -406,17 +458,15 @@ def repeated_places(documents: DataFrame, length: int, group: int = GROUP) -> Da
     # A document's runs are bounded by its text.
     differing = judged.where(kind == DIFFERING).groupBy("ord").agg(F.collect_list("place").alias("places"))
     runs = documents.join(differing, "ord").select("ord", "text", "places")
-    cut = written(runs.mapInArrow(_run_bytes(sampling), "sample long, ord long, place long, bytes binary"), "suffix-bytes")
-    sizes = cut.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(sizes.where(F.col("n") > group).select("sample"), "suffix-hot")
-    few = cut
-    if not hot.isEmpty():
-        few = cut.join(sent_if_small(hot), "sample", "left_anti")
-        many = cut.join(sent_if_small(hot), "sample", "left_semi")
-        pairs = many.select("sample", "ord", "place", "bytes").mapInArrow(_strings(sampling), _RANKED)
+    few, many = _by_size(written(runs.mapInArrow(_run_bytes(sampling), _BYTES), "suffix-bytes"), group)
+    if many is not None:
+        refined, many = _by_size(written(many.mapInArrow(_wider_ranks(sampling), _BYTES), "suffix-bytes"), group)
+        few = few.union(refined)
+    if many is not None:
+        pairs = many.mapInArrow(_strings(sampling), _RANKED)
         pairs = pairs.repartition("sample").sortWithinPartitions("sample", "run", "ord", "place")
         wholly = wholly.union(pairs.mapInArrow(_judge_places, "ord long, place long").select("ord", *span))
-    few = few.select("sample", "ord", "place", "bytes").repartition("sample").sortWithinPartitions("sample")
+    few = few.repartition("sample").sortWithinPartitions("sample")
     return wholly.union(few.mapInArrow(_judge_strings(sampling), "ord long, place long").select("ord", *span))
 
 
