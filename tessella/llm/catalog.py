@@ -31,5 +31,7 @@ LLM_QUERIES = {
 
 LLM_SQL = {
     "op1_quality": queries_quality.SQL,
+    "op2_suffix_dedup": queries_suffixes.SQL,
     "op3_decontaminate": queries_decontaminate.SQL,
+    "op8_chat": queries_chat.SQL,
 }
