@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.kernels import dense_block, list_column
-from tessella.session import MAX_MODEL_CELLS, bounded_rows
+from tessella.session import MAX_MODEL_CELLS, bounded_rows, few_splits
 from tessella.errors import SizeBoundError
 
 BlockMap = Callable[[np.ndarray], np.ndarray]
@@ -115,7 +115,7 @@ def vector_moments(
             )
 
     schema = "i int, n bigint, mean array<double>, scatter array<double>"
-    merged = vectors.mapInArrow(partial, schema).repartition("i").mapInArrow(merge, schema)
+    merged = few_splits(vectors).mapInArrow(partial, schema).repartition("i").mapInArrow(merge, schema)
     rows = sorted(bounded_rows(merged, width, "moment rows"), key=lambda r: r["i"])
     if not rows:
         return Moments(0, np.zeros(width), np.zeros((width, width)))
@@ -161,7 +161,7 @@ def outer_sum(
             )
 
     schema = "i int, row array<double>"
-    return inputs.mapInArrow(partial, schema).repartition("i").mapInArrow(merge, schema)
+    return few_splits(inputs).mapInArrow(partial, schema).repartition("i").mapInArrow(merge, schema)
 
 
 def table_matrix(table: DataFrame, shape: tuple[int, int]) -> np.ndarray:

@@ -175,19 +175,19 @@ def group_weight_gradient_mean(spark: SparkSession, directory: str) -> DataFrame
 _WEIGHT_JOIN = f"{_BASE}, {_Z}, q AS (SELECT vec_id, k, m, s * s / (2 * z) AS g FROM z JOIN code USING (vec_id))"
 
 
-def _step_sql(number: int, legacy: bool) -> str:
+def _step_sql(number: int, legacy: bool, eta: float | str = ETA, eps: float = EPS) -> str:
     """One inference step as four named queries, from ``s{number}`` to ``s{number + 1}``."""
     prev, n = f"s{number}", number
-    moved = f"s - {ETA} * g"
+    moved = f"s - {eta} * g"
     if legacy:
-        theta = f"{ETA} * {WEIGHT} * cp"
+        theta = f"{eta} * {WEIGHT} * cp"
         update = f"sign({moved}) * greatest(abs({moved}) - {theta}, 0.0::DOUBLE)"
     else:
-        update = f"s - {ETA} * (g + {WEIGHT} * s * cp)"
+        update = f"s - {eta} * (g + {WEIGHT} * s * cp)"
     return (
         f"r{n} AS (SELECT vec_id, i, sum(w * s) - any_value(v) AS r FROM {prev} JOIN phi USING (m) JOIN e USING (vec_id, i) GROUP BY ALL), "
         f"g{n} AS (SELECT vec_id, m, sum(w * r) AS g FROM r{n} JOIN phi USING (i) GROUP BY ALL), "
-        f"z{n} AS (SELECT vec_id, k, sqrt({EPS} + sum(w * s * s)) AS z FROM {prev} JOIN lam USING (m) GROUP BY ALL), "
+        f"z{n} AS (SELECT vec_id, k, sqrt({eps} + sum(w * s * s)) AS z FROM {prev} JOIN lam USING (m) GROUP BY ALL), "
         f"c{n} AS (SELECT vec_id, m, sum(w / z) AS cp FROM z{n} JOIN lam USING (k) GROUP BY ALL), "
         f"s{n + 1} AS (SELECT vec_id, m, {update} AS s FROM {prev} JOIN g{n} USING (vec_id, m) JOIN c{n} USING (vec_id, m))"
     )
@@ -245,12 +245,12 @@ SELECT i, m, {r6_sql("w / sqrt(sum(w * w) OVER (PARTITION BY m))")} AS w FROM mo
 
 
 def sparse_code_batch(spark: SparkSession, directory: str) -> DataFrame:
-    """Fifty stable steps: how many rows end below their starting objective, and none above."""
+    """Fifty stable steps: the mean objective after the first few, and how many rows it ever rose for."""
     phi, lam = _model(spark, directory)
     eta = inference.step_size(phi, lam, WEIGHT, eps=1e-3)
     options = {"eta": eta, "penalty_weight": WEIGHT, "eps": 1e-3}
     coded = embeddings(spark, directory)
-    for steps in (0, 25, 50):
+    for steps in (0, 1, 3, 25, 50):
         code = inference.infer("smooth_gradient", F.col("f"), phi, lam, n_steps=steps, **options)
         value = inference.objective(F.col("f"), code, phi, lam, WEIGHT, 1e-3)
         coded = coded.withColumn(f"o{steps}", value)
@@ -259,13 +259,46 @@ def sparse_code_batch(spark: SparkSession, directory: str) -> DataFrame:
         F.count_if(F.col("o25") > F.col("o0") + 1e-12).alias("rose_early"),
         F.count_if(F.col("o50") > F.col("o25") + 1e-12).alias("rose_late"),
         r6(F.avg("o0")).alias("start"),
+        r6(F.avg("o1")).alias("after_1"),
+        r6(F.avg("o3")).alias("after_3"),
+        r6(F.lit(eta)).alias("eta"),
     )
 
 
+def _top_eigenvalue_sql(squarings: int = 12) -> str:
+    """CTEs up to ``top(v)``, the largest eigenvalue of the atoms' Gram matrix, by repeated squaring."""
+    parts = ["g_0 AS MATERIALIZED (SELECT a.m AS i, b.m AS j, sum(a.w * b.w) AS v FROM phi a JOIN phi b USING (i) GROUP BY a.m, b.m)"]
+    for k in range(squarings):
+        product = f"SELECT p.i, q.j, sum(p.v * q.v) AS v FROM g_{k} p JOIN g_{k} q ON p.j = q.i GROUP BY p.i, q.j"
+        parts.append(f"g_{k + 1} AS MATERIALIZED (SELECT i, j, v / sqrt(sum(v * v) OVER ()) AS v FROM ({product}))")
+    last = f"g_{squarings}"
+    parts.append(
+        f"top AS MATERIALIZED (SELECT (SELECT sum(p.v * q.v) FROM g_0 p JOIN {last} q ON p.i = q.j AND p.j = q.i) / "
+        f"(SELECT sum(v) FROM {last} WHERE i = j) AS v)"
+    )
+    return ", ".join(parts)
+
+
+def _objective_sql(step: int) -> str:
+    """Mean objective of the codes ``s{step}``."""
+    fit = (
+        f"SELECT vec_id, sum(r * r) / 2 AS o FROM (SELECT vec_id, i, any_value(v) - sum(w * s) AS r FROM s{step} JOIN phi USING (m) "
+        "JOIN e USING (vec_id, i) GROUP BY ALL) GROUP BY vec_id"
+    )
+    active = (
+        f"SELECT vec_id, sum(z) AS z FROM (SELECT vec_id, k, sqrt(1e-3 + sum(w * s * s)) AS z FROM s{step} JOIN lam USING (m) GROUP BY ALL) "
+        "GROUP BY vec_id"
+    )
+    return f"(SELECT avg(o + {WEIGHT} * z) FROM ({fit}) JOIN ({active}) USING (vec_id))"
+
+
 _BATCH_SQL = f"""
-WITH {LONG}, q AS (SELECT vec_id, sum(v * v) / 2 AS q FROM e GROUP BY vec_id)
-SELECT count(*) AS n, 0::BIGINT AS rose_early, 0::BIGINT AS rose_late,
-  {r6_sql(f"avg(q) + {WEIGHT} * {GROUPS} * sqrt(1e-3)")} AS start FROM q
+{_BASE}, {_top_eigenvalue_sql()},
+eta AS MATERIALIZED (SELECT 1 / (v + {WEIGHT} * (SELECT max(t) FROM (SELECT sum(w) AS t FROM lam GROUP BY m)) / sqrt(1e-3)) AS eta FROM top),
+s0 AS (SELECT vec_id, CAST(m AS INTEGER) AS m, 0.0::DOUBLE AS s FROM embeddings, range({ATOMS}) r(m)),
+{", ".join(_step_sql(k, False, "(SELECT eta FROM eta)", 1e-3) for k in range(3))}
+SELECT (SELECT count(*) FROM embeddings) AS n, 0::BIGINT AS rose_early, 0::BIGINT AS rose_late, {r6_sql(_objective_sql(0))} AS start,
+  {r6_sql(_objective_sql(1))} AS after_1, {r6_sql(_objective_sql(3))} AS after_3, {r6_sql("(SELECT eta FROM eta)")} AS eta
 """
 
 BOUND = {

@@ -69,6 +69,11 @@ def spread_small(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def few_splits(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Merge the splits of a large input without a shuffle, so that per-task partial results stay few."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder ``spark.checkpoint.dir`` names.
 
