@@ -93,6 +93,9 @@ class Sampling:
         self.half = 1 << (length.bit_length() - 1)
         self.gram = max(1, self.half // 2)
         self.width = length - self.gram + 1
+        # Bytes by which the blocks of wider ranks fall short of the length: halved until few are left.
+        side = (length - self.gram) // 2
+        self.steps = [s for s in (side, side // 2, side // 4) if s]
 
     def string_ranks(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both ranks of the string that starts at each position."""
@@ -346,14 +349,13 @@ def _judge_strings(sampling: Sampling):
     return run
 
 
-def _wider_ranks(sampling: Sampling):
-    """Runs of hot samples to parts of them that also share what stands beside the sample.
+def _wider_ranks(sampling: Sampling, step: int):
+    """Runs of hot samples to parts of them whose strings share all but ``step`` of their bytes.
 
-    A string reaches ``side`` bytes beyond its first sample on the right, or else on the left; the sample's
-    rank is doubled with that side's, so contexts that differ part, and a run becomes a few rows.
+    Such a block begins whole steps before the first sample of a string, so equal strings have the same one,
+    and neighbouring strings mostly share it: a run becomes a few rows, and contexts that differ part.
     """
-    side = (sampling.length - sampling.gram) // 2
-    size = sampling.gram + side
+    size = sampling.length - step
     power = 1 << (size.bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,18 +366,18 @@ def _wider_ranks(sampling: Sampling):
             start, count, _ = unpack(batch.column("place").to_numpy())
             data, offsets = _texts(batch.column("bytes"))
             ranks = doubled(data, sampling.gram)
-            owner = np.repeat(batch.column("sample").to_numpy().view(np.uint64), np.diff(offsets))[: len(ranks)]
-            places = np.flatnonzero(ranks == owner)
+            least = sliding(ranks, sampling.width)[offsets[:-1]]
+            places = np.flatnonzero(ranks == np.repeat(least, np.diff(offsets))[: len(ranks)])
             row = np.repeat(np.arange(len(ords)), count)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = offsets[row] + nth
             sample_at = places[np.searchsorted(places, at)]
-            right = sample_at - at <= side
-            begin = np.where(right, sample_at, sample_at - side)
+            steps = (sample_at - at) // step
+            begin = sample_at - step * steps
             wide = doubled(data, power)
             key = wide[begin] * _MULTIPLY + wide[begin + size - power]
             key ^= key >> np.uint64(32)
-            key = key * _AGAIN ^ right.astype(np.uint64)
+            key = key * _AGAIN ^ steps.astype(np.uint64)
             first = np.flatnonzero(_new(row, key))
             number = np.diff(np.concatenate((first, [len(row)])))
             pieces = [data[a:b].tobytes() for a, b in zip(at[first].tolist(), (at[first] + number - 1 + sampling.length).tolist(), strict=True)]
@@ -396,14 +398,12 @@ def _strings(sampling: Sampling):
             left, right, ord_, start = _string_table(sampling, batch)
             late = np.zeros(len(left), dtype=bool)
             late[_later(left, right, ord_, start)] = True
+            names = ["sample", "run", "ord", "place"]
+            alone = np.ones(int((~late).sum()), np.int64)
+            yield _record(names, left[~late], right[~late], ord_[~late], pack(start[~late], alone, RUN))
+            ord_, start, count = _joined(ord_[late], start[late])
             scatter = (ord_ * 1_000_003 + start).astype(np.uint64) * _MULTIPLY
-            yield _record(
-                ["sample", "run", "ord", "place"],
-                np.where(late, scatter, left),
-                np.where(late, np.uint64(0), right),
-                ord_,
-                pack(start, np.ones(len(start), np.int64), 0) | np.where(late, REPEATED, RUN),
-            )
+            yield _record(names, scatter, np.zeros_like(scatter), ord_, pack(start, count, REPEATED))
 
     return run
 
@@ -459,9 +459,10 @@ def repeated_places(documents: DataFrame, length: int, group: int = GROUP) -> Da
     differing = judged.where(kind == DIFFERING).groupBy("ord").agg(F.collect_list("place").alias("places"))
     runs = documents.join(differing, "ord").select("ord", "text", "places")
     few, many = _by_size(written(runs.mapInArrow(_run_bytes(sampling), _BYTES), "suffix-bytes"), group)
-    if many is not None:
-        refined, many = _by_size(written(many.mapInArrow(_wider_ranks(sampling), _BYTES), "suffix-bytes"), group)
-        few = few.union(refined)
+    for step in sampling.steps:
+        if many is not None:
+            refined, many = _by_size(written(many.mapInArrow(_wider_ranks(sampling, step), _BYTES), "suffix-bytes"), group)
+            few = few.union(refined)
     if many is not None:
         pairs = many.mapInArrow(_strings(sampling), _RANKED)
         pairs = pairs.repartition("sample").sortWithinPartitions("sample", "run", "ord", "place")
