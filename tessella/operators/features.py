@@ -61,15 +61,17 @@ def per_row_normalize(df: DataFrame, column: str, eps: float = 1e-8) -> DataFram
     )
 
 
-def sigma_for_snr(df: DataFrame, column: str, snr_db: float) -> DataFrame:
-    """One-row table ``(sigma)``: noise level giving ``snr_db`` for a scalar signal column."""
-    variance = F.var_pop(column)
+def sigma_for_snr(df: DataFrame, column: str, *snr_db: float) -> DataFrame:
+    """Noise level per target SNR of a scalar signal column, from one variance: ``(snr_db, sigma)``."""
     message = "target SNR is undefined for a constant signal"
-    return df.agg(variance.alias("variance")).select(
-        F.when(F.col("variance") == 0, F.raise_error(F.lit(message)))
-        .otherwise(F.sqrt(F.col("variance") / F.lit(10.0 ** (snr_db / 10.0))))
-        .alias("sigma")
+    spread = df.agg(F.var_pop(column).alias("variance")).select(
+        F.when(F.col("variance") == 0, F.raise_error(F.lit(message))).otherwise(F.col("variance")).alias("variance")
     )
+    levels = [
+        F.struct(F.lit(float(db)).alias("snr_db"), F.sqrt(F.col("variance") / F.lit(10.0 ** (db / 10.0))).alias("sigma"))
+        for db in snr_db
+    ]
+    return spread.select(F.inline(F.array(*levels)))
 
 
 def measured_snr_db(df: DataFrame, clean: str, noisy: str) -> DataFrame:

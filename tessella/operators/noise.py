@@ -38,7 +38,7 @@ def add_awgn_snr(
     df: DataFrame, column: str, snr_db: float, seed: int, *key: str, out: str = "noisy"
 ) -> DataFrame:
     """Noise calibrated to the signal's own variance; the level used is kept in ``sigma``."""
-    sigma = sigma_for_snr(df, column, snr_db).scalar()
+    sigma = sigma_for_snr(df, column, snr_db).select("sigma").scalar()
     noise = keyed_normal(F.lit(str(seed)), *[F.col(k) for k in key])
     return df.withColumn("sigma", sigma).withColumn(out, F.col(column) + F.col("sigma") * noise)
 

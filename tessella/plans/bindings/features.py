@@ -290,13 +290,8 @@ FROM wh JOIN cf USING (crop_id, i), s
 
 def snr_sigma(spark: SparkSession, directory: str) -> DataFrame:
     events = read_table(spark, directory, "events", "value")
-    frames = [
-        features.sigma_for_snr(events, "value", db).select(
-            F.lit(db).alias("snr_db"), r6(F.col("sigma")).alias("sigma")
-        )
-        for db in (0.0, 3.0, 6.0)
-    ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    levels = features.sigma_for_snr(events, "value", 0.0, 3.0, 6.0)
+    return levels.select("snr_db", r6(F.col("sigma")).alias("sigma"))
 
 
 _SIGMA_SQL = f"""
@@ -501,14 +496,14 @@ def noise_scopes(spark: SparkSession, directory: str) -> DataFrame:
         F.hour("ts").alias("dst"),
     )
     fixed = noise.uniform_weight_noise(edges.select("src", "dst").distinct(), 0.25, 4)
-    tagged = [
-        noise.scoped_weight_noise(edges, scope, 0.5, 3, fixed=fixed if scope == "fixed" else None)
-        .withColumn("scope", F.lit(scope))
-        .select("scope", "trajectory", "step", "src", "dst", "noise")
-        for scope in noise.SCOPES
-    ]
-    state = noise.state_noise(edges, 0.1, 6, "trajectory", "step").withColumn("scope", F.lit("state"))
-    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(state)
+    # One scan: each kind of draw becomes a column, and the columns are unfolded.
+    drawn = edges
+    for scope in noise.SCOPES:
+        table = fixed if scope == "fixed" else None
+        drawn = noise.scoped_weight_noise(drawn, scope, 0.5, 3, fixed=table).withColumnRenamed("noise", scope)
+    drawn = noise.state_noise(drawn, 0.1, 6, "trajectory", "step").withColumnRenamed("noise", "state")
+    kinds = [F.struct(F.lit(k).alias("scope"), F.col(k).alias("noise")) for k in (*noise.SCOPES, "state")]
+    rows = drawn.select("trajectory", "step", "src", "dst", F.inline(F.array(*kinds)))
     return rows.withColumn("noise", r6(F.col("noise")))
 
 
