@@ -7,7 +7,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.problems import as_problems, compare_keys, flag_rows
+from tessella.operators.problems import as_problems, compare_keys, flag_rows, key_sides
 from tessella.session import union_all
 
 TUPLE = ("source", "target", "derivation")
@@ -53,31 +53,24 @@ def check_fanout(
 
     ``sources`` and ``targets`` are one-column tables ``(rel)``.
     """
-    one_sided = compare_keys(expected, declared, *TUPLE)
-    rule = F.when(F.col("in_expected"), F.lit("missing_tuple")).otherwise(F.lit("extra_tuple"))
-    tuples = one_sided.select(
-        rule.alias("rule"),
-        F.concat_ws(" -> ", "source", "target").alias("key"),
-        F.col("derivation").alias("detail"),
-    )
-    wanted_sources = expected.select(F.col("source").alias("rel")).distinct()
-    lost_sources = wanted_sources.join(sources.select("rel"), "rel", "left_anti")
-    frozen = expected.select(*TUPLE).distinct()
-    lost_targets = frozen.join(
-        targets.select(F.col("rel").alias("target")), "target", "left_anti"
-    )
-    return union_all(
-        [
-            tuples,
-            as_problems(lost_sources, "missing_source", F.col("rel"), F.lit("")),
-            as_problems(
-                lost_targets,
-                "missing_target",
-                F.col("target"),
-                F.concat_ws(" ", "source", "derivation"),
-            ),
-        ]
-    )
+    sides = key_sides(expected, declared, *TUPLE)
+    for side, known in (("target", targets), ("source", sources)):
+        there = known.select(F.col("rel").alias(side)).distinct().withColumn(f"has_{side}", F.lit(True))
+        sides = sides.join(there, side, "left")
+    wanted, seen = F.col("in_expected"), F.col("in_seen")
+    pair, detail = F.concat_ws(" -> ", "source", "target"), F.col("derivation")
+    rules = [
+        ("missing_tuple", wanted & ~seen, pair, detail),
+        ("extra_tuple", seen & ~wanted, pair, detail),
+        ("missing_source", wanted & F.col("has_source").isNull(), F.col("source"), F.lit("")),
+        ("missing_target", wanted & F.col("has_target").isNull(), F.col("target"), F.concat_ws(" ", "source", "derivation")),
+    ]
+    entries = [
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), key.alias("key"), text.alias("detail")))
+        for rule, broken, key, text in rules
+    ]
+    # Tuples are distinct; a lost source is named by each of its tuples.
+    return sides.select(F.inline(F.array_compact(F.array(*entries)))).distinct()
 
 
 def check_file_map(

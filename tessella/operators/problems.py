@@ -35,19 +35,16 @@ def as_problems(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFr
     )
 
 
-def compare_keys(expected: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
-    """Two-way set difference as one aggregation: ``(*keys, in_expected, in_seen)``.
-
-    Only keys present on one side survive. Duplicates collapse before the shuffle, so a hot key
-    costs one row per task.
-    """
+def key_sides(expected: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
+    """Every distinct key of two tables, with ``in_expected`` and ``in_seen``; one aggregation."""
     tagged = expected.select(*keys, F.lit(True).alias("in_expected"), F.lit(False).alias("in_seen"))
     other = seen.select(*keys, F.lit(False).alias("in_expected"), F.lit(True).alias("in_seen"))
     merged = tagged.unionByName(other).groupBy(*keys).agg(
         F.bool_or("in_expected").alias("in_expected"), F.bool_or("in_seen").alias("in_seen")
     )
-    return merged.filter(F.col("in_expected") != F.col("in_seen"))
+    return merged
 
 
-def ordered_report(report: DataFrame) -> DataFrame:
-    return report.orderBy("rule", "key", "detail")
+def compare_keys(expected: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
+    """Keys of one table only."""
+    return key_sides(expected, seen, *keys).filter(F.col("in_expected") != F.col("in_seen"))
