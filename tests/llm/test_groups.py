@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from data import clashing, documents, sentence
+from data import clashing, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
