@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import alnum_words, map_rows, written
 
-# Patterns of one block of the benchmark: what a task holds at a time, in bytes of item text.
-BLOCK_BYTES = 16 << 20
+# Item text of one block of the benchmark, in bytes. Its windows, up to one for each word, take some hundred
+# times as much in the driver and in every Python worker.
+BLOCK_BYTES = 1 << 20
 
 HITS = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
