@@ -17,10 +17,10 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(",")]
 
 
-def read_csv_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv_strict(spark: SparkSession, path: str, schema: str, position: str | None = None) -> DataFrame:
     """Read CSV whose header must equal the schema; a bad value fails the read.
 
-    Empty fields stay empty strings.
+    Empty fields stay empty strings. ``position`` names a column that orders rows as their files list them.
     """
     names = _names(schema)
     first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
@@ -32,7 +32,12 @@ def read_csv_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
         .options(enforceSchema=False, mode="FAILFAST", **CSV_DIALECT)
         .csv(path)
     )
-    return table.fillna("", subset=[name for name, kind in table.dtypes if kind == "string"])
+    texts = [name for name, kind in table.dtypes if kind == "string"]
+    if position:
+        # Splits are packed by size, so ids alone do not follow the files.
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        table = table.select("*", place.alias(position))
+    return table.fillna("", subset=texts)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +58,8 @@ def write_manifest(manifest: DataFrame, path: str, *, overwrite: bool = False) -
 
 
 def read_file_map(spark: SparkSession, path: str) -> DataFrame:
-    """File map with ``pos``, the position of a row in its file."""
-    return read_csv_strict(spark, path, FILE_MAP_SCHEMA).withColumn(
-        "pos", F.monotonically_increasing_id()
-    )
+    """File map with ``pos``, which orders rows by file and by their place in it."""
+    return read_csv_strict(spark, path, FILE_MAP_SCHEMA, position="pos")
 
 
 def read_expected_tuples(spark: SparkSession, path: str) -> DataFrame:

@@ -121,3 +121,15 @@ def test_undecodable_text_is_null(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\x00")
     texts = files.read_texts(spark, str(tmp_path))
     assert pairs(texts) == {("good.txt", "héllo"), ("bad.txt", None)}
+
+
+def test_file_map_rows_follow_their_files(spark, tmp_path):
+    from tessella.operators.lineage import FILE_MAP_SCHEMA
+    from tessella.sources.tables import read_file_map
+
+    names = [part.split()[0] for part in FILE_MAP_SCHEMA.split(",")]
+    for name, rows in (("a.csv", 2), ("b.csv", 400)):
+        lines = [",".join(names)] + [",".join([f"{name}-{k:04d}", *[f"v{k}"] * (len(names) - 1)]) for k in range(rows)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    read = read_file_map(spark, str(tmp_path)).orderBy("pos").select(names[0]).collect()
+    assert [r[0] for r in read] == [f"a.csv-{k:04d}" for k in range(2)] + [f"b.csv-{k:04d}" for k in range(400)]
