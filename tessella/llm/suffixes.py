@@ -148,11 +148,11 @@ class Sampling:
         return least[starts], run, document, starts + low - offsets[document], ends - starts + 1, self._inside(ranks, least, valid, starts, ends)
 
     def _inside(self, ranks, least, valid, starts, ends) -> np.ndarray:
-        """Runs that may repeat a string of their own: their sample stands twice less than ``width`` apart."""
+        """Runs that may repeat a string of their own: their sample stands twice at most ``width`` apart."""
         padded = np.zeros(len(least) + 2 * (self.width - 1), dtype=np.uint64)
         padded[self.width - 1 : self.width - 1 + len(least)] = np.where(valid, least, np.uint64(0))
         taken = np.flatnonzero(sliding(padded, self.width, np.maximum)[: len(ranks)] == ranks)
-        again = taken[1:][(ranks[taken[1:]] == ranks[taken[:-1]]) & (np.diff(taken) < self.width)]
+        again = taken[1:][(ranks[taken[1:]] == ranks[taken[:-1]]) & (np.diff(taken) <= self.width)]
         if not len(again):
             return np.zeros(len(starts), dtype=bool)
         return np.searchsorted(again, starts) < np.searchsorted(again, ends + self.width)

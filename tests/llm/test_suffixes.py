@@ -63,6 +63,19 @@ def test_matches_a_table_of_all_strings(spark, length, group):
         assert (bytes(r.kept), [tuple(s) for s in r.removed_spans]) == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("length", [4, 12, 37, 100])
+def test_every_period_in_a_stretch_that_stands_once(spark, length):
+    draw = random.Random(length)
+    rows = []
+    for period in range(1, 2 * length + 1):
+        unit = "".join(chr(draw.randint(33, 126)) for _ in range(period - 1)) + "\n"
+        rows.append((period, unit * (3 + 3 * length // period)))
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length=length).collect()
+    want = brute(rows, length)
+    wrong = [r.doc_id for r in got if (bytes(r.kept), [tuple(s) for s in r.removed_spans]) != want[r.doc_id]]
+    assert len(got) == len(rows) and wrong == []
+
+
 def test_long_periodic_text_spans_several_walks(spark):
     rows = [(1, "xy" * 700_000 + "end"), (2, "q" * 99), (3, "xy" * 60)]
     got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
