@@ -130,7 +130,7 @@ mit | granted | permission is hereby granted free of charge to any person obtain
 mit | software | the software is provided as is without warranty of any kind express or implied | 0.6
 isc | granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | 0.95
 bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted | 0.9
-bsd | endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote | 0.95
+bsd | endorse | neither the name of (?:\\S+ ){1,40}?nor the names of its contributors may be used to endorse or promote | 0.95
 apache | apache | you may not use this file except in compliance with the license | 0.8
 apache | apache | www apache org licenses license 2 0 | 0.95
 gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license | 0.95
@@ -184,8 +184,7 @@ def rules() -> dict[bytes, list[tuple[int, str, float, re.Pattern]]]:
         table.setdefault(keyword.encode(), []).append((priority, label, strength, compiled))
 
     split = lambda text: ([p.strip(" ") for p in re.split(r" \| ", line)] for line in text.strip().splitlines())
-    for label, keyword, name, identifiers in split(FAMILIES):
-        add(0, label, "spdx", 1.0, f"spdx license identifier (?:{identifiers})")
+    for label, keyword, name, _ in split(FAMILIES):
         add(2, label, keyword, 0.9, f"{_GRANT}(?:{name})(?: (?:public )?{_LICENSE})?{_VERSION}")
         add(3, label, keyword, 0.7, f"(?:{name})(?: (?:style|public|free|open source))? {_LICENSE}{_VERSION}")
     for label, keyword, sentence, strength in split(SENTENCES):
@@ -193,14 +192,51 @@ def rules() -> dict[bytes, list[tuple[int, str, float, re.Pattern]]]:
     return table
 
 
+# Of an SPDX expression: its head, what joins two identifiers, and an exception or an identifier without a label.
+_HEAD = re.compile(b"(?<= )spdx license identifier ")
+_JOIN = " (?:or(?! later )|and|with) "
+_JOINT = re.compile(_JOIN.encode())
+_UNKNOWN = re.compile(rf"\S+(?:(?!{_JOIN}) \S+){{0,7}}(?={_JOIN})".encode())
+
+
+@cache
+def identifiers() -> list[tuple[str, re.Pattern]]:
+    """Labels and patterns of SPDX identifiers; one that the expression goes on after is preferred."""
+    lines = (re.split(r" \| ", line, maxsplit=3) for line in FAMILIES.strip().splitlines())
+    either = lambda names: f"(?:{names})(?={_JOIN})|(?:{names})(?= )"
+    return [(label.strip(), re.compile(either(names.strip()).encode())) for label, _, _, names in lines]
+
+
+def spdx_places(text: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, label) of every identifier of SPDX expressions; the first one includes the head."""
+    found = []
+    for head in _HEAD.finditer(text):
+        start, at = head.start(), head.end()
+        while True:
+            known = [(m.end(), label) for label, pattern in identifiers() if (m := pattern.match(text, at))]
+            if known:
+                end = max(known)[0]
+                found += sorted({(start, end, label) for stop, label in known if stop == end})
+            elif other := _UNKNOWN.match(text, at):
+                end = other.end()
+            else:
+                break
+            joint = _JOINT.match(text, end)
+            if not joint:
+                break
+            start = at = joint.end()
+    return found
+
+
 def detect(words: list[bytes]) -> list[tuple[str, int, int, float]]:
     """Kept detections ``(label, first word, last word, strength)`` of a text, by place."""
     table = rules()
     present = table.keys() & words if len(words) < 64 else set(filter(table.__contains__, words))
-    if not present:
+    spdx = b"spdx" in words
+    if not present and not spdx:
         return []
     text = b" " + b" ".join(words) + b" "
-    found = []
+    found = [(0, start - end, start, end, label, 1.0) for start, end, label in spdx_places(text)] if spdx else []
     for keyword in present:
         for priority, label, strength, pattern in table[keyword]:
             found += [(priority, m.start() - m.end(), m.start(), m.end(), label, strength) for m in pattern.finditer(text)]

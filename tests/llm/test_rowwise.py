@@ -90,6 +90,17 @@ def test_license_rules_and_suppression():
     assert [(d[1], d[2]) for d in found] == [(40, 41), (42, 43), (44, 45)]
 
 
+def test_license_expressions_and_long_holders():
+    label = lambda text: [d[0] for d in detect(alnum_words(text))]
+    head = "x SPDX-License-Identifier: "
+    assert label(head + "MIT OR Apache-2.0") == ["mit", "apache"]
+    assert label(head + "(MIT AND BSD-3-Clause) OR MPL-2.0\nint x;") == ["mit", "bsd", "mpl"]
+    assert label(head + "GPL-2.0-only WITH Classpath-exception-2.0 OR Foo-1.0 OR MIT") == ["gpl", "mit"]
+    assert label(head + "MIT\nmade by hand and sent to you") == ["mit"]
+    holder = "Lawrence Livermore National Security, LLC, the U.S. Department of Energy, the University of California"
+    assert label(f"Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products") == ["bsd"]
+
+
 def test_phrases_by_brute_force(spark):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     texts = ["MIT License mit license MIT  license", "the mit licenses", "GNU General Public License; general public-license", "apache\nLICENSE", "", None, "permit license"]
