@@ -32,7 +32,3 @@ def data_dir():
     if not DATA.is_dir():
         pytest.skip("benchmark tables are not available")
     return str(DATA)
-
-
-def pairs(df):
-    return {tuple(r) for r in df.collect()}

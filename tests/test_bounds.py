@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
-from conftest import pairs
 from pyspark.sql import functions as F
+from rowsets import pairs
 
 from tessella import session
 from tessella.errors import SizeBoundError
@@ -71,7 +71,7 @@ def test_lineage_tables(spark, tmp_path):
         'a.tex,translated-from,b.tex,s,c,"one, two"\n'
     )
     table = tables.read_file_map(spark, str(tmp_path / "map.csv"))
-    assert table.first()["notes"] == "one, two" and table.first()["pos"] == 0
+    assert table.first()["notes"] == "one, two" and table.first()["pos"]["row"] == 0
     (tmp_path / "expected.csv").write_text("source_2026_file,dissertation_file,derivation\nb.tex,a.tex,translated-from\n")
     expected = tables.read_expected_tuples(spark, str(tmp_path / "expected.csv"))
     assert pairs(expected) == pairs(tables.declared_tuples(table))

@@ -1,4 +1,4 @@
-from conftest import pairs
+from rowsets import pairs
 from pyspark.sql import functions as F
 
 from tessella.functions.text import CANARIES, LEAK_NEEDLES, LEAK_PATTERNS, first_leak, split_lines

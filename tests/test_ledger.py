@@ -1,5 +1,5 @@
 import pytest
-from conftest import pairs
+from rowsets import pairs
 
 from tessella.errors import PinConflictError
 from tessella.operators import ledger

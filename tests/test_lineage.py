@@ -1,4 +1,4 @@
-from conftest import pairs
+from rowsets import pairs
 
 from tessella.operators import lineage
 

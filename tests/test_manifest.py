@@ -1,5 +1,5 @@
 import pytest
-from conftest import pairs
+from rowsets import pairs
 
 from tessella.operators import manifest as m
 

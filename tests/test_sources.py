@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import pairs
+from rowsets import pairs
 from pngfile import png_bytes
 from pyspark.sql import functions as F
 

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import pairs
+from rowsets import pairs
 from pyspark.sql import functions as F
 
 from tessella.operators.leakscan import scan_texts
