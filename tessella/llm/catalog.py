@@ -4,6 +4,8 @@ import corpus_pipeline
 from tessella.llm import (
     queries_chat,
     queries_decontaminate,
+    queries_fingerprints,
+    queries_hard_negatives,
     queries_language,
     queries_licenses,
     queries_packing,
@@ -12,6 +14,7 @@ from tessella.llm import (
     queries_simhash,
     queries_suffixes,
     queries_toxicity,
+    queries_vector_codes,
 )
 
 LLM_QUERIES = {
@@ -26,6 +29,9 @@ LLM_QUERIES = {
     "op8_chat": queries_chat.op8_chat,
     "op9_licenses": queries_licenses.op9_licenses,
     "op10_toxicity": queries_toxicity.op10_toxicity,
+    "op11_fingerprints": queries_fingerprints.op11_fingerprints,
+    "op12_vector_codes": queries_vector_codes.op12_vector_codes,
+    "op13_hard_negatives": queries_hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +40,7 @@ LLM_SQL = {
     "op2_suffix_dedup": queries_suffixes.SQL,
     "op3_decontaminate": queries_decontaminate.SQL,
     "op8_chat": queries_chat.SQL,
+    "op11_fingerprints": queries_fingerprints.SQL,
+    "op12_vector_codes": queries_vector_codes.SQL,
+    "op13_hard_negatives": queries_hard_negatives.SQL,
 }
