@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import (
@@ -15,6 +15,7 @@ from tessella.functions.text import (
     split_lines,
     strip_canaries,
 )
+from tessella.sources import lines as source_lines
 
 # Name, expression, and optionally lower-case literals every match contains.
 Pattern = tuple[str, str] | tuple[str, str, tuple[str, ...]]
@@ -70,13 +71,17 @@ def _line_bound(pattern: str) -> bool:
 
 
 def scan_texts(
-    texts: DataFrame, extra_patterns: Sequence[Pattern] = (), *, snippet_length: int | None = None
+    texts: DataFrame,
+    extra_patterns: Sequence[Pattern] = (),
+    *,
+    snippet_length: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Findings ``(path, lineno, pattern, snippet)`` of a ``(path, text)`` table.
 
     One finding per line and matching pattern, on the line with canaries removed; lines with the
-    exemption marker are skipped. The snippet is the whole line unless a length is given. A forbidden path is one finding at line 0 and its text is not
-    read. Null texts (undecodable files) and binary suffixes are skipped. The scan is one narrow
+    exemption marker are skipped. The snippet is the whole line unless a length is given. ``carry`` names further
+    columns of the texts to keep. A forbidden path is one finding at line 0 and its text is not read. Null texts (undecodable files) and binary suffixes are skipped. The scan is one narrow
     pass, so it runs unchanged on a stream, and only texts that can contain a finding are split.
     """
     patterns = [(name, pattern, LEAK_NEEDLES[name]) for name, pattern in LEAK_PATTERNS]
@@ -87,7 +92,7 @@ def scan_texts(
         readable = readable & _worth_splitting(F.col("text"), patterns)
     lines = F.when(forbidden, F.array(F.lit(""))).otherwise(split_lines(F.col("text")))
     numbered = texts.filter(forbidden | readable).select(
-        "path", forbidden.alias("forbidden"), F.posexplode(lines).alias("pos", "line")
+        "path", *carry, forbidden.alias("forbidden"), F.posexplode(lines).alias("pos", "line")
     )
     probed = (
         numbered.filter(~F.col("line").contains(EXEMPT_MARKER))
@@ -109,6 +114,7 @@ def scan_texts(
     note = F.lit("this file must never be tracked")
     return probed.select(
         "path",
+        *carry,
         F.when(F.col("forbidden"), 0).otherwise(F.col("pos") + 1).cast("int").alias("lineno"),
         F.explode(
             F.when(F.col("forbidden"), F.array(F.lit("tracked-private-note"))).otherwise(matched)
@@ -117,6 +123,28 @@ def scan_texts(
     )
 
 
+def scan_files(
+    spark: SparkSession, root: str, extra_patterns: Sequence[Pattern] = (), *, snippet_length: int | None = None
+) -> DataFrame:
+    """The findings of ``scan_texts`` for the files under ``root``, which may be larger than a task.
+
+    Lines are scanned split by split and numbered afterwards. Files that are not UTF-8 have no findings, and neither do
+    binary suffixes; a forbidden path has its one finding even where the file is empty.
+    """
+    readable = ~has_binary_suffix(F.col("path")) & ~is_forbidden_path(F.col("path"))
+    lines = source_lines.read_lines(spark, root).withColumn("path", source_lines.relative(spark, root)).where(readable)
+    # A line that is not valid has no text to search; its file is left out afterwards. With its own break back, what
+    # stands between a further break and that one is a line, too.
+    ended = F.concat("value", F.lit("\n"))
+    texts = lines.select("path", "file", "block", "id", F.try_validate_utf8(ended).alias("text"))
+    found = scan_texts(texts, extra_patterns, snippet_length=snippet_length, carry=("file", "block", "id"))
+    inside = source_lines.numbered(found.withColumnRenamed("lineno", "inner"), lines, inner="inner", lineno="lineno")
+    listed = source_lines.file_paths(spark, root).withColumn("path", source_lines.relative(spark, root))
+    forbidden = scan_texts(listed.where(is_forbidden_path(F.col("path"))).select("path", F.lit("").alias("text")))
+    columns = ["path", F.col("lineno").cast("long").alias("lineno"), "pattern", "snippet"]
+    return inside.select(*columns).unionByName(forbidden.select(*columns))
+
+
 def canaries_all_detected(canaries: DataFrame) -> DataFrame:
     """One row ``(all_detected)``: every ``(value)`` matches at least one pattern."""
     return canaries.agg(F.bool_and(first_leak(F.col("value")).isNotNull()).alias("all_detected"))

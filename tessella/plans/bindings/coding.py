@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.keyed import keyed_normal
-from tessella.operators import inference, sparse
+from tessella.operators import blocks, inference, sparse
 from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql
 from tessella.session import bounded_matrix, r6
 
@@ -133,6 +133,15 @@ def dict_grad(spark: SparkSession, directory: str) -> DataFrame:
     return entries(table, "row", "i", index="m", value="g")
 
 
+def dict_grad_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    """The same gradient through blocks of 16 x 16."""
+    coded, phi, _ = _coded(spark, directory)
+    cells = [(i, m, float(w)) for (i, m), w in np.ndenumerate(phi)]
+    dictionary = blocks.from_entries(spark.createDataFrame(cells, "i int, j int, v double"), *phi.shape, size=16)
+    gradient = blocks.dictionary_gradient(coded, "f", "s", dictionary).entries()
+    return gradient.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("m"), r6(F.col("v")).alias("g"))
+
+
 _DICT_GRAD_SQL = f"""
 {_BASE}, {_RECON}
 SELECT i, m, {r6_sql("sum((x - xh) * s)")} AS g FROM rec JOIN code USING (vec_id) GROUP BY ALL
@@ -308,6 +317,7 @@ BOUND = {
     "data_gradient": Bound(data_gradient, _GRADIENT_SQL),
     "recon_error": Bound(recon_error, _ERROR_SQL),
     "dict_grad": Bound(dict_grad, _DICT_GRAD_SQL),
+    "dict_grad_blocks": Bound(dict_grad_blocks, _DICT_GRAD_SQL),
     "group_activity": Bound(group_activity, f"{_BASE}, {_Z} SELECT vec_id, k, {r6_sql('z')} AS v FROM z"),
     "group_penalty": Bound(group_penalty, f"{_BASE}, {_Z} SELECT vec_id, {r6_sql('sum(z)')} AS omega FROM z GROUP BY vec_id"),
     "group_gradient": Bound(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import color
 from tessella.functions import vectors as vec
 from tessella.operators import audit, features, noise
+from tessella.operators.blocks import apply_block_whitening, fit_block_whitening, invert_block_whitening
 from tessella.operators.moments import Moments, vector_moments
 from tessella.operators.similarity import nearest_cosine
 from tessella.operators.whitening import (
@@ -185,6 +186,16 @@ def whiten_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("vec_id", "i", r6(F.col("z.w"), 5).alias("w"), r6(F.col("z.f")).alias("v"))
 
 
+def whiten_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    """The same whitening through blocks of 16 x 16, without a whole matrix in any task or on the driver."""
+    e = embeddings(spark, directory)
+    stats = fit_block_whitening(e.filter(F.col("role") == "train"), "f", width=64, size=16)
+    whitened = apply_block_whitening(e, "vec_id", "f", stats, name="w")
+    restored = invert_block_whitening(whitened, "vec_id", "w", stats, name="f")
+    w = whitened.select("vec_id", F.posexplode("w").alias("i", "w")).withColumn("w", r6(F.col("w"), 5))
+    return w.join(entries(restored, "f", "vec_id"), ["vec_id", "i"])
+
+
 def _whitened_sql(rows: str, key: str, size: int, steps: int, eps: float = 1e-5) -> str:
     """CTEs up to ``wh(key, label, i, w)``: long rows whitened with the statistics of labels below 7."""
     return (
@@ -526,6 +537,7 @@ BOUND = {
     "row_rms": Bound(row_rms, _ROW_SQL),
     "cov_matrix": Bound(cov_matrix, _COV_SQL),
     "whiten_roundtrip": Bound(whiten_roundtrip, _ROUNDTRIP_SQL),
+    "whiten_blocks": Bound(whiten_blocks, _ROUNDTRIP_SQL),
     "whiten_pairs": Bound(whiten_pairs, _PAIRS_SQL),
     "whiten_check": Bound(whiten_check, _WHITEN_SQL),
     "representation_fit_apply": Bound(representation_fit_apply, _FIT_SQL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -69,9 +70,16 @@ def spread_small(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def few_splits(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Merge the splits of a large input without a shuffle, so that per-task partial results stay few."""
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def size_setting(spark: SparkSession, key: str) -> int:
+    """A setting in bytes, whatever unit it is written in."""
+    text = spark.conf.get(key).lower().strip().removesuffix("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(text[-1:], 1)
+    return max(1, int(text.rstrip("kmgt")) * factor)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -99,6 +107,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """Cut lineage with a table in the shared checkpoint folder; unlike a checkpoint it is computed once."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Collect a result that is small by construction; fail instead of truncating."""
     rows = df.limit(limit + 1).collect()

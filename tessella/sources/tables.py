@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.lineage import FILE_MAP_SCHEMA
 from tessella.operators.manifest import MANIFEST_SCHEMA
+from tessella.sources.delimited import read_records
 from tessella.sources.sinks import write_new
 
 EXPECTED_TUPLES_SCHEMA = "source_2026_file string, dissertation_file string, derivation string"
@@ -17,27 +20,27 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(",")]
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Names in the first line with content of some file; the others are held to them when they are read."""
+    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
+    return [] if first is None else next(csv.reader([first[0]]))
+
+
 def read_csv_strict(spark: SparkSession, path: str, schema: str, position: str | None = None) -> DataFrame:
-    """Read CSV whose header must equal the schema; a bad value fails the read.
+    """Read CSV whose headers must equal the schema; a bad value or a record of another length fails the read.
 
-    Empty fields stay empty strings. ``position`` names a column that orders rows as their files list them.
+    Quoted fields may hold line breaks. Empty fields are empty strings. ``position`` names a column that orders rows as
+    their files list them.
     """
     names = _names(schema)
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    header = [] if first is None else [h.strip('"') for h in first[0].rstrip("\r").split(",")]
+    header = _header(spark, path)
     if header != names:
         raise ValueError(f"columns {header} != expected {names}")
-    table = (
-        spark.read.schema(schema)
-        .options(enforceSchema=False, mode="FAILFAST", **CSV_DIALECT)
-        .csv(path)
-    )
-    texts = [name for name, kind in table.dtypes if kind == "string"]
-    if position:
-        # Splits are packed by size, so ids alone do not follow the files.
-        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-        table = table.select("*", place.alias(position))
-    return table.fillna("", subset=texts)
+    records = read_records(spark, path, names)
+    kinds = [part.split()[1] for part in schema.split(",")]
+    fields = [F.col("fields")[k].cast(kind).alias(name) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))]
+    place = [F.struct("file", "block", "row").alias(position)] if position else []
+    return records.select(*fields, *place)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +83,7 @@ def declared_tuples(file_map: DataFrame) -> DataFrame:
 
 def read_inventory(spark: SparkSession, path: str, column: str = "latex_label") -> DataFrame:
     """Label inventory with any further columns: ``(label)``."""
-    table = spark.read.options(**CSV_DIALECT).csv(path)
-    if column not in table.columns:
-        raise ValueError(f"inventory has no {column!r} column: {table.columns}")
-    return table.select(F.col(column).alias("label"))
+    names = _header(spark, path)
+    if column not in names:
+        raise ValueError(f"inventory has no {column!r} column: {names}")
+    return read_records(spark, path, names).select(F.col("fields")[names.index(column)].alias("label"))
