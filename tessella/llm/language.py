@@ -70,12 +70,18 @@ def fit_text_model(
 ) -> TextModel:
     """Trigram probabilities of the languages that have at least ``least_share`` of the training rows.
 
-    Rows without an id or a language are not used; without any row the model knows no language.
+    The training rows are the first ``training_rows`` by the hash of the id, then the id and the hash of the text; equal
+    ones count once. Rows without an id or a language are not used; without any row the model knows no language.
     """
     usable = labelled.where(F.col(id).isNotNull() & (F.trim(F.coalesce(language, F.lit(""))) != ""))
-    sample = usable.select(F.col(id).alias("key")).orderBy(F.xxhash64("key"), "key").limit(training_rows)
-    named = usable.select(F.col(id).alias("key"), F.col(text).alias("text"), primary(F.col(language)).alias("label"))
-    table = written(named.join(F.broadcast(sample.distinct()), "key").limit(2 * training_rows), "language")
+    named = usable.select(
+        F.col(id).alias("key"), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("text"), primary(F.col(language)).alias("label")
+    )
+    # Rows, not ids, are chosen, and equal rows are one before the shuffle: a repeated id brings no more of them.
+    sample = named.select("key", "own").orderBy(F.xxhash64("key"), "key", "own").limit(training_rows).distinct()
+    same = named["key"].eqNullSafe(sample["key"]) & (named["own"] == sample["own"])
+    joined = named.join(F.broadcast(sample), same, "left_semi")
+    table = written(joined.groupBy("key", "own").agg(F.min("text").alias("text"), F.min("label").alias("label")), "language")
 
     def rows(columns: dict[str, list]):
         sums: dict[str, np.ndarray] = {}

@@ -39,8 +39,14 @@ _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 # Harmless phrases with a word that may be in the lexicon; they are taken out before matching.
 EXCEPTIONS = (
-    "trash can", "trash bin", "trash collection", "recycle trash", "clown fish", "circus clown", "idiot proof",
-    "pond scum", "sore loser board", "stupid simple",
+    "april fool", "april fools", "circus clown", "class clown", "clown fish", "clown loach", "clown nose",
+    "clown shoes", "dead end", "dead heat", "die cast", "dumb bell", "dumb terminal", "dumb waiter", "fool proof",
+    "fools gold", "garbage can", "garbage collection", "garbage collector", "garbage disposal", "garbage truck",
+    "idiot light", "idiot proof", "kill switch", "killer whale", "loser bracket", "pathetic fallacy", "pig iron",
+    "pond scum", "rat poison", "rat race", "recycle trash", "rodeo clown", "scum line", "soap scum",
+    "sore loser board", "stupid simple", "trash bag", "trash bags", "trash bin", "trash can", "trash chute",
+    "trash collection", "trash compactor", "trash day", "ugly duckling", "ugly sweater", "worm drive", "worm farm",
+    "worm gear",
 )
 
 BEGINNINGS = range(3, 10)
@@ -75,10 +81,10 @@ class Matcher:
 
         self.weights = weights
         self.automaton = ahocorasick.Automaton()
-        for phrase in exceptions:
-            self.automaton.add_word(f" {phrase} ", (phrase.count(" ") + 1, None))
         for entry in weights:
             self.automaton.add_word(f" {entry}", (0, entry))
+        for phrase in exceptions:  # after the entries: a phrase of one word stands in for the entry it excuses
+            self.automaton.add_word(f" {phrase} ", (phrase.count(" ") + 1, None))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
@@ -100,7 +106,18 @@ class Matcher:
                 start = end - len(entry)
                 if len(entry) > len(best.get(start, "")):
                     best[start] = entry
-        return [e for at, e in best.items() if not any(a <= at < b for a, b in excused)]
+        if not excused:
+            return list(best.values())
+        # Both in order of their place: a hit is excused if some phrase that starts no later reaches beyond it.
+        excused.sort()
+        left, nth, reach = set(), 0, -1
+        for at in sorted(best):
+            while nth < len(excused) and excused[nth][0] <= at:
+                reach = max(reach, excused[nth][1])
+                nth += 1
+            if at >= reach:
+                left.add(at)
+        return [e for at, e in best.items() if at in left]
 
 
 def measures(hits: list[str], weights: dict[str, float], n_words: int) -> list[float]:
@@ -185,8 +202,9 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn the lexicon on two thirds of at most ``training_rows`` labelled documents, the link on the rest.
 
-    The rows used are those whose hash of the id is smallest, so the choice does not depend on partitioning,
-    and their number bounds what is broadcast or collected. Labels other than 0 and 1, null ids and labels
+    The rows used are those whose hash of the id is smallest, so the choice does not depend on partitioning, and of
+    documents that repeat an id the one whose text has the smallest hash, so their number bounds what is broadcast or
+    collected, however often an id occurs. Labels other than 0 and 1, null ids and labels
     without a document are not used; without documents of both labels the model scores everything 0.
     """
     spark = documents.sparkSession
@@ -194,8 +212,10 @@ def fit_toxicity(
     usable = usable.select(F.col(id).alias("key"), F.col(label).cast("int").alias("label"))
     sample = usable.orderBy(F.xxhash64("key"), "key", "label").limit(training_rows)
     named = documents.select(F.col(id).alias("key"), F.col(text).alias("text"))
-    table = named.join(F.broadcast(sample), "key").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(3)))
-    table = written(table, "toxicity")
+    # Copies of an id are reduced before the shuffle, one row a task.
+    chosen_text = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    table = named.join(F.broadcast(sample.distinct()), "key").groupBy("key", "label").agg(chosen_text)
+    table = written(table.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(3))), "toxicity")
     learn, check = table.where("fold <> 0"), table.where("fold = 0")
     sizes = {r.label: r["count"] for r in learn.groupBy("label").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -249,8 +269,8 @@ class _Shared:
 def score_toxicity(documents: DataFrame, model: ToxicityModel, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, score, hits`` (lexicon entries found, with repeats) for every row.
 
-    Row by row; null and empty texts have no hits and get the score of a text without words, repeated rows get
-    equal results, an empty table stays empty. Other columns are not looked at.
+    Row by row; null and empty texts have no hits and get the score of a text without words, texts of any length take
+    time in proportion to it, repeated rows get equal results, an empty table stays empty. Other columns are not looked at.
     """
     kind = documents.schema[id].dataType.simpleString()
     matching = _Shared(documents.sparkSession, model.weights, model.exceptions)
