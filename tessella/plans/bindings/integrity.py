@@ -271,6 +271,47 @@ SELECT c.dataset, c.archive, c.sha256, p.sha256 AS prior, c.reason, coalesce(p.s
 FROM c LEFT JOIN pins p ON c.dataset = p.dataset AND c.archive = p.archive
 """
 
+# Chains of 25 entries, with forks, gaps, repeats, wrong priors and missing reasons planted by archive and number.
+_CHAIN = {
+    "dataset": "CASE WHEN o_orderkey DIV 25 % 2 = 0 THEN 'even' ELSE 'odd' END",
+    "archive": "'a' || CAST(o_orderkey DIV 25 AS STRING)",
+    "sha256": "<<'p' || CAST(o_orderkey AS STRING)>>",
+    "prior": "CASE WHEN o_orderkey % 25 = 0 AND o_orderkey % 7 <> 3 THEN NULL WHEN o_orderkey % 97 = 5 THEN <<'x'>> "
+    "ELSE <<'p' || CAST(o_orderkey - 1 AS STRING)>> END",
+    "reason": "CASE WHEN o_orderkey % 25 = 0 THEN NULL WHEN o_orderkey % 89 = 7 THEN ' ' ELSE o_orderpriority END",
+    "seq": "CASE WHEN o_orderkey % 997 = 4 THEN -1 ELSE o_orderkey % 25 END",
+}
+_FORKED = _CHAIN | {"sha256": "<<'q' || CAST(o_orderkey AS STRING)>>"}
+
+
+def ledger_chain(spark: SparkSession, directory: str) -> DataFrame:
+    orders = read_table(spark, directory, "orders").filter("o_orderkey % 83 <> 11")
+    entries = derive(orders, _CHAIN).unionByName(derive(orders.filter("o_orderkey % 61 = 8"), _CHAIN))
+    return ledger.chain_problems(entries.unionByName(derive(orders.filter("o_orderkey % 71 = 9"), _FORKED)))
+
+
+def _entries_sql(columns: dict[str, str], where: str) -> str:
+    return f"{derive_sql('orders', columns).replace(' DIV ', ' // ')} WHERE o_orderkey % 83 <> 11 {where}"
+
+
+_CHAIN_SQL = f"""
+WITH l AS ({_entries_sql(_CHAIN, "")} UNION ALL {_entries_sql(_CHAIN, "AND o_orderkey % 61 = 8")} UNION ALL {_entries_sql(_FORKED, "AND o_orderkey % 71 = 9")}),
+e AS (SELECT *, count(*) AS copies FROM l GROUP BY ALL),
+t AS (SELECT dataset, archive, seq, count(*) AS n FROM e WHERE seq >= 0 GROUP BY ALL)
+SELECT dataset, archive, CAST(seq AS BIGINT) AS seq, rule, coalesce(detail, '') AS detail FROM (
+  SELECT dataset, archive, seq, 'repeated_entry' AS rule, CAST(copies AS VARCHAR) AS detail FROM e WHERE copies > 1
+  UNION ALL SELECT dataset, archive, seq, 'fork', CAST(n AS VARCHAR) FROM t WHERE n > 1
+  UNION ALL SELECT dataset, archive, seq, 'gap', '' FROM t WHERE seq > 0
+    AND NOT EXISTS (SELECT 1 FROM t b WHERE b.dataset = t.dataset AND b.archive = t.archive AND b.seq = t.seq - 1)
+  UNION ALL SELECT dataset, archive, seq, 'broken_prior', prior FROM e WHERE seq > 0
+    AND EXISTS (SELECT 1 FROM t b WHERE b.dataset = e.dataset AND b.archive = e.archive AND b.seq = e.seq - 1)
+    AND NOT EXISTS (SELECT 1 FROM e b WHERE b.dataset = e.dataset AND b.archive = e.archive AND b.seq = e.seq - 1 AND b.sha256 = e.prior)
+  UNION ALL SELECT dataset, archive, seq, 'first_with_prior', prior FROM e WHERE seq = 0 AND prior IS NOT NULL
+  UNION ALL SELECT dataset, archive, seq, 'no_reason', sha256 FROM e WHERE seq > 0 AND trim(coalesce(reason, '')) = ''
+  UNION ALL SELECT dataset, archive, seq, 'bad_number', sha256 FROM e WHERE seq IS NULL OR seq < 0)
+"""
+
+
 _REQUESTS = {
     "c_custkey": "c_custkey",
     "dataset": "CASE c_custkey % 4 WHEN 0 THEN 'DIV2K' WHEN 1 THEN 'bsds500' WHEN 2 THEN 'div2k' ELSE c_mktsegment END",
@@ -322,5 +363,6 @@ BOUND = {
     "pin_actions": Bound(pin_actions, _PIN_SQL),
     "verify_pins": Bound(verify_pins, _VERIFY_PINS_SQL),
     "pin_rotation": Bound(pin_rotation, _ROTATION_SQL),
+    "ledger_chain": Bound(ledger_chain, _CHAIN_SQL),
     "terms_requests": Bound(judge_terms, _TERMS_SQL),
 }

@@ -9,6 +9,7 @@ from tessella.errors import PinConflictError
 from tessella.operators.ledger import (
     PINS_SCHEMA,
     TERMS_SCHEMA,
+    chain_problems,
     current_pins,
     pin_actions,
     rotation_entries,
@@ -43,6 +44,11 @@ def read_rotation_log(spark: SparkSession, root: str) -> DataFrame:
     return rotation_log(read_pin_ledger(spark, root))
 
 
+def verify_chains(spark: SparkSession, root: str) -> DataFrame:
+    """Breaks of the recorded chains; appends that ran at the same time show as forks."""
+    return chain_problems(read_pin_ledger(spark, root))
+
+
 def _append(entries: DataFrame, root: str) -> None:
     entries.write.mode("append").partitionBy("dataset").parquet(f"{root}/pins")
 

@@ -107,3 +107,54 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         registry.checked_splits((("d", "x", 2, 1, "train"),))
     assert jobs.list_datasets(spark).count() == 2
+
+
+def chain(spark, *rows):
+    return spark.createDataFrame([("d", "a", *r) for r in rows], ledger.PINS_SCHEMA)
+
+
+def test_whole_chains_have_no_problems(spark):
+    rows = [("h0", None, None, 0), *[(f"h{k}", f"h{k - 1}", "why", k) for k in range(1, 6)]]
+    assert ledger.chain_problems(chain(spark, *rows)).isEmpty()
+    assert ledger.chain_problems(chain(spark)).isEmpty()
+
+
+def test_chain_faults(spark):
+    rows = [
+        ("h0", None, None, 0), ("h0", None, None, 0),  # the same entry twice
+        ("h1", "h0", "why", 1), ("x1", "h0", "why", 1),  # two appends at the same time
+        ("h2", "x1", " ", 2),  # follows one of them, without a reason
+        ("h4", "h3", "why", 4),  # the third is gone
+        ("h5", "other", "why", 5), ("h6", None, "why", 6), ("b", None, None, None), ("c", None, None, -2),
+    ]
+    found = ledger.chain_problems(chain(spark, *rows))
+    assert pairs(found.select("seq", "rule", "detail")) == {
+        (0, "repeated_entry", "2"), (1, "fork", "2"), (2, "no_reason", "h2"), (4, "gap", ""),
+        (5, "broken_prior", "other"), (6, "broken_prior", ""), (None, "bad_number", "b"), (-2, "bad_number", "c"),
+    }
+    first = chain(spark, ("h0", "z", None, 0))
+    assert pairs(ledger.chain_problems(first).select("rule", "detail")) == {("first_with_prior", "z")}
+
+
+def test_divergent_pins_are_reported_not_chosen(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    for digest in (D1, D2):  # as two writers that read the empty ledger would leave it
+        ledgers._append(chain(spark, (digest, None, None, 0)), root)
+    pins = ledgers.read_pins(spark, root)
+    assert pairs(pins) == {("d", "a", None, 0, True)}
+    assert pairs(ledgers.verify_chains(spark, root).select("rule", "detail")) == {("fork", "2")}
+    seen = spark.createDataFrame([("d", "a", D1)], "dataset string, archive string, sha256 string")
+    assert pairs(ledger.verify_pins(seen, pins).select("status")) == {("divergent",)}
+    with pytest.raises(PinConflictError):
+        ledgers.record_pins(seen, root, require_acceptance=False)
+    with pytest.raises(Exception, match="divergent pins of d/a"):
+        ledgers.rotate_pins(seen.selectExpr("*", "'why' AS reason"), root)
+
+
+def test_two_changes_of_an_archive_are_refused(spark):
+    pins = ledger.current_pins(chain(spark, (D1, None, None, 0)))
+    both = spark.createDataFrame([("d", "a", D2, "x"), ("d", "a", D1, "y")], "dataset string, archive string, sha256 string, reason string")
+    with pytest.raises(Exception, match="more than one change of d/a"):
+        ledger.rotation_entries(both, pins).collect()
+    one = ledger.rotation_entries(both.limit(1), pins).first()
+    assert (one["prior"], one["seq"]) == (D1, 1)
