@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,7 +107,16 @@ def objective(
     return row_function(kernel, x, code)
 
 
-def dictionary_step(
+@dataclass(frozen=True)
+class DictionaryMove:
+    """A moved dictionary, with the mean half squared residual before the move and the rows it was learned from."""
+
+    phi: np.ndarray
+    objective: float
+    n_rows: int
+
+
+def dictionary_move(
     df: DataFrame,
     x: str,
     phi: np.ndarray,
@@ -114,16 +125,25 @@ def dictionary_step(
     rate: float,
     variant: str = VARIANTS[0],
     **inference: float,
-) -> np.ndarray:
+) -> DictionaryMove:
     """One alternation: infer codes, average the dictionary gradient, move and renormalise.
 
-    One job over the data; only the ``features x atoms`` gradient and the row count come back.
+    One job over the data; the ``features x atoms`` gradient, the residual and the row count come back.
     """
     code = infer(variant, F.col(x), phi, lam, **inference)
     coded = df.select(F.col(x).alias("x"), code.alias("s"))
-    # One more row of the sum counts the rows, so the table is read once.
-    with_count = lambda xs, s: np.vstack([(xs - s @ phi.T).T @ s, np.full(phi.shape[1], len(xs))])
-    shape = (phi.shape[0] + 1, phi.shape[1])
-    total = table_matrix(outer_sum(coded, ["x", "s"], with_count, shape), shape)
+
+    # Two more rows of the sum hold the residual and the count, so the table is read once.
+    def sums(xs: np.ndarray, s: np.ndarray) -> np.ndarray:
+        gap = xs - s @ phi.T
+        return np.vstack([gap.T @ s, np.full(phi.shape[1], 0.5 * (gap * gap).sum()), np.full(phi.shape[1], len(xs))])
+
+    shape = (phi.shape[0] + 2, phi.shape[1])
+    total = table_matrix(outer_sum(coded, ["x", "s"], sums, shape), shape)
     n = above("rows to learn from", total[-1, 0])
-    return unit_columns(phi + rate * total[:-1] / n, on_zero="raise")
+    return DictionaryMove(unit_columns(phi + rate * total[:-2] / n, on_zero="raise"), float(total[-2, 0] / n), int(n))
+
+
+def dictionary_step(df: DataFrame, x: str, phi: np.ndarray, lam: np.ndarray, **options) -> np.ndarray:
+    """The dictionary after one :func:`dictionary_move`."""
+    return dictionary_move(df, x, phi, lam, **options).phi

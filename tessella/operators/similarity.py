@@ -31,7 +31,7 @@ def unit_block(x: np.ndarray) -> np.ndarray:
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in key order, null keys ahead.
+    """The first ``n`` rows in key order, null keys ahead, repeated keys by the hash of their row.
 
     The last key that belongs to them is found on the keys alone; vectors are read and computed for rows up
     to it only.
@@ -39,7 +39,8 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     order = F.asc_nulls_first(key)
     last = df.select(key).orderBy(order).limit(n).agg(F.max(key)).first()[0]
     near = F.col(key).isNull() if last is None else F.col(key).isNull() | (F.col(key) <= F.lit(last))
-    return df.filter(near).orderBy(order).limit(n)
+    row = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    return df.filter(near).orderBy(order, row).limit(n)
 
 
 def nearest_cosine(

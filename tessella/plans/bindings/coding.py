@@ -6,14 +6,17 @@ from a keyed draw; ten atoms and four groups keep the SQL statements readable.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.keyed import keyed_normal
 from tessella.operators import blocks, inference, sparse
-from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql
-from tessella.session import bounded_matrix, r6
+from tessella.plans.bindings.common import LONG, Bound, embeddings, entries, normal_sql, r6_sql, uniform_sql
+from tessella.plans.dictionary_fit import fit_dictionary, versions
+from tessella.session import bounded_matrix, checkpoint_folder, r6
 
 GROUPS, ATOMS = 4, 10
 EPS = 1e-6
@@ -253,6 +256,41 @@ SELECT i, m, {r6_sql("w / sqrt(sum(w * w) OVER (PARTITION BY m))")} AS w FROM mo
 """
 
 
+def dictionary_fit(spark: SparkSession, directory: str) -> DataFrame:
+    """Two steps of a fit, then a third by a run that resumes it: every version that was stored."""
+    phi, lam = _model(spark, directory)
+    root = f"{checkpoint_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    rows = embeddings(spark, directory)
+    for steps in (2, 3):
+        fit_dictionary(
+            rows, "vec_id", "f", phi, lam, root=root, steps=steps, batches=2, rate=0.5, n_steps=2, eta=ETA, penalty_weight=WEIGHT, eps=EPS
+        )
+    stored = versions(spark, root).filter("version > 0")
+    wide = stored.select("version", r6(F.col("objective")).alias("objective"), "n_rows", F.posexplode("phi").alias("i", "row"))
+    return wide.select("version", "objective", "n_rows", "i", F.posexplode("row").alias("m", "w")).withColumn("w", r6(F.col("w")))
+
+
+def _fit_step_sql(k: int) -> str:
+    """CTEs from ``phi{k}`` to ``phi{k + 1}``, learned from one of two keyed batches."""
+    at = 10 * k
+    chain = ", ".join(_step_sql(at + j, False) for j in range(2))
+    chain = chain.replace("JOIN phi ", f"JOIN phi{k} ").replace("JOIN e ", f"JOIN e{k} ")
+    return f"""
+e{k} AS MATERIALIZED (SELECT * FROM e WHERE floor({uniform_sql("sha256('batch|' || vec_id)")} * 2) = {k % 2}),
+s{at} AS (SELECT vec_id, CAST(m AS INTEGER) AS m, 0.0::DOUBLE AS s FROM (SELECT DISTINCT vec_id FROM e{k}), range({ATOMS}) r(m)), {chain},
+rec{k} AS MATERIALIZED (SELECT vec_id, i, any_value(v) - sum(w * s) AS r FROM s{at + 2} JOIN phi{k} USING (m) JOIN e{k} USING (vec_id, i) GROUP BY ALL),
+obj{k} AS (SELECT sum(r * r) / 2 / count(DISTINCT vec_id) AS objective, count(DISTINCT vec_id) AS n_rows FROM rec{k}),
+grad{k} AS (SELECT i, m, sum(r * s) / count(*) AS g FROM rec{k} JOIN s{at + 2} USING (vec_id) GROUP BY ALL),
+phi{k + 1} AS MATERIALIZED (SELECT i, m, w / sqrt(sum(w * w) OVER (PARTITION BY m)) AS w FROM
+  (SELECT i, m, w + 0.5 * g AS w FROM phi{k} JOIN grad{k} USING (i, m)))"""
+
+
+_FIT_SQL = f"""
+{_BASE}, phi0 AS MATERIALIZED (SELECT * FROM phi), {", ".join(_fit_step_sql(k) for k in range(3))}
+{" UNION ALL ".join(f"SELECT {k + 1} AS version, {r6_sql('objective')} AS objective, n_rows, i, m, {r6_sql('w')} AS w FROM phi{k + 1}, obj{k}" for k in range(3))}
+"""
+
+
 def sparse_code_batch(spark: SparkSession, directory: str) -> DataFrame:
     """Fifty stable steps: the mean objective after the first few, and how many rows it ever rose for."""
     phi, lam = _model(spark, directory)
@@ -333,5 +371,6 @@ BOUND = {
     "infer_legacy": Bound(infer_legacy, f"{_infer_sql(3, True)} SELECT vec_id, m, {r6_sql('s')} AS s FROM s3"),
     "infer_resumed": Bound(infer_resumed, f"{_infer_sql(3, False)} SELECT vec_id, m, {r6_sql('s')} AS s FROM s3"),
     "dictionary_step": Bound(dictionary_step, _STEP_SQL),
+    "dictionary_fit": Bound(dictionary_fit, _FIT_SQL),
     "sparse_code_batch": Bound(sparse_code_batch, _BATCH_SQL),
 }

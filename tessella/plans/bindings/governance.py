@@ -335,19 +335,19 @@ def _artifact_json(a: Column, b: Column, c: Column, n: Column) -> Column:
 
 
 def whitening_artifacts(spark: SparkSession, directory: str) -> DataFrame:
+    """An artifact from each of the 32 pairs of entries of a row; every number decides about its faults."""
     e = embeddings(spark, directory, spread=True)
-    entry = lambda k: F.get("f", k)
-    records = e.select(
-        "vec_id",
-        _artifact_json(entry(0) + 2.0, entry(2), entry(1) + 2.0, F.col("vec_id")).alias("json"),
+    pair = lambda k: F.struct(k.alias("k"), F.get("f", k * 2).alias("x"), F.get("f", k * 2 + 1).alias("y"))
+    pairs = e.select("vec_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(31)), pair)))
+    number = F.col("vec_id") * 32 + F.col("k")
+    records = pairs.select(
+        number.alias("number"), _artifact_json(F.col("x") + 2.0, F.col("x") - F.col("y"), F.col("y") + 2.0, number).alias("json")
     )
-    return validate_whitening_records(records, "vec_id", "json").select("key", "rule", "label")
+    return validate_whitening_records(records, "number", "json").select("key", "rule", "label")
 
 
-_ARTIFACT_EXPECTED = (
-    (1, "not_symmetric", "matrices"),
-    (2, "not_inverse", "matrices"),
-    (3, "bad_shape", "matrices"),
+# Rules of single fields by the number that plants them; those of the matrices from the values.
+_ARTIFACT_FIELDS = (
     (4, "unknown_value", "schema_version"),
     (5, "unknown_value", "kind"),
     (6, "out_of_range", "eps"),
@@ -355,10 +355,23 @@ _ARTIFACT_EXPECTED = (
     (8, "bad_digest", "input_manifest_sha256"),
     (9, "unknown_field", ""),
 )
-_ARTIFACT_SQL = " UNION ALL ".join(
-    f"SELECT CAST(vec_id AS VARCHAR) AS key, '{rule}' AS rule, '{label}' AS label FROM embeddings WHERE vec_id % 12 = {k}"
-    for k, rule, label in _ARTIFACT_EXPECTED
+_FIELDS_SQL = " UNION ALL ".join(
+    f"SELECT CAST(number AS VARCHAR) AS key, '{rule}' AS rule, '{label}' AS label FROM m WHERE number % 12 = {k}"
+    for k, rule, label in _ARTIFACT_FIELDS
 )
+_ARTIFACT_SQL = f"""
+WITH p AS (SELECT vec_id * 32 + k AS number, CAST(embedding[2 * k + 1] AS DOUBLE) AS x, CAST(embedding[2 * k + 2] AS DOUBLE) AS y
+  FROM embeddings, range(32) r(k)),
+w AS (SELECT number, x + 2 AS a, x - y AS b, y + 2 AS c, x - y + CASE WHEN number % 12 = 1 THEN 0.5 ELSE 0 END AS off,
+  CASE WHEN number % 12 = 2 THEN 1.5 ELSE 1 END AS s, CASE WHEN number % 12 = 3 THEN 1 ELSE 2 END AS n_mean FROM p),
+m AS (SELECT *, c / (a * c - b * b) * s AS u, -b / (a * c - b * b) AS v, a / (a * c - b * b) AS z FROM w),
+f AS (SELECT number, CASE WHEN n_mean <> 2 THEN 'bad_shape'
+    WHEN abs(off - b) > 1e-8 + 1e-5 * least(abs(b), abs(off)) THEN 'not_symmetric'
+    WHEN abs(a * u + off * v - 1) > 1e-6 + 1e-5 OR abs(a * v + off * z) > 1e-6 OR abs(b * u + c * v) > 1e-6
+      OR abs(b * v + c * z - 1) > 1e-6 + 1e-5 THEN 'not_inverse' END AS rule FROM m)
+SELECT CAST(number AS VARCHAR) AS key, rule, 'matrices' AS label FROM f WHERE rule IS NOT NULL
+UNION ALL {_FIELDS_SQL}
+"""
 
 
 def table_fingerprint(spark: SparkSession, directory: str) -> DataFrame:

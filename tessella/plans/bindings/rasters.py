@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import vectors as vec
 from tessella.functions.dihedral import AUGMENTATIONS, augment, moved_position
 from tessella.operators import patches
 from tessella.operators.patches import PatchConfig
@@ -235,22 +236,30 @@ SELECT vec_id AS image_id, sigma, y, x, c, {r6_sql("sum(w * z) / sum(w)")} AS v
 
 
 def representation_track(spark: SparkSession, directory: str) -> DataFrame:
-    """Keyed crops, train-only fit and calibrated noise; SNR per role and level, rounded to 0.5 dB."""
+    """Keyed crops, train-only fit and calibrated noise: every row's draws, read back from what was added.
+
+    The entries' draws are weighted by their place and added; the measured SNR is that of the row's role and level.
+    """
     images = _square_images(spark, directory, 8, 3)
     config = PatchConfig(size=3, n_random=8, augment=True)
     _, noisy = tracks.color_whitened(images, dataset="embeddings", seed=3, patches=config)
-    gap = F.zip_with("noisy", "clean", lambda a, b: a - b)
-    power = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
-    totals = noisy.groupBy("role", "snr_db").agg(
-        (F.sum(power(F.col("clean"))) / F.sum(power(gap))).alias("ratio"), F.count(F.lit(1)).alias("n")
+    noisy = noisy.withColumn("gap", F.zip_with("noisy", "clean", lambda a, b: a - b))
+    weighted = F.transform("gap", lambda v, i: v / F.col("sigma") * (i + 1))
+    rows = noisy.select(
+        "image_id", "patch_index", "role", "snr_db", r6(vec.total(weighted)).alias("draws"),
+        vec.sum_squares(F.col("clean")).alias("signal"), vec.sum_squares(F.col("gap")).alias("error"),
     )
-    level = F.round(F.lit(2.0) * F.lit(10.0) * F.log10("ratio")) / 2
-    return totals.select("role", "snr_db", level.alias("measured_db"), "n")
+    # Whole groups meet here only as sums: two numbers a role and level.
+    totals = rows.groupBy("role", "snr_db").agg((F.sum("signal") / F.sum("error")).alias("ratio"))
+    measured = totals.select("role", "snr_db", (F.round(F.lit(20.0) * F.log10("ratio")) / 2).alias("measured_db"))
+    return rows.join(F.broadcast(measured), ["role", "snr_db"]).select("image_id", "patch_index", "role", "snr_db", "measured_db", "draws")
 
 
-_REPRESENTATION_SQL = """
-SELECT CASE WHEN label < 7 THEN 'train' WHEN label < 9 THEN 'val' ELSE 'test' END AS role, db AS snr_db, db AS measured_db,
-  count(*) * 8 AS n FROM embeddings, (VALUES (0.0::DOUBLE), (3.0::DOUBLE), (6.0::DOUBLE)) t(db) GROUP BY ALL
+_REPRESENTATION_DRAW = normal_sql("sha256('3|' || vec_id || '|' || p || '|' || i)")
+_REPRESENTATION_SQL = f"""
+SELECT vec_id AS image_id, CAST(p AS INTEGER) AS patch_index, CASE WHEN label < 7 THEN 'train' WHEN label < 9 THEN 'val' ELSE 'test' END AS role,
+  db AS snr_db, db AS measured_db, {r6_sql(f"sum({_REPRESENTATION_DRAW} * (i + 1))")} AS draws
+FROM embeddings, range(8) a(p), range(27) b(i), (VALUES (0.0::DOUBLE), (3.0::DOUBLE), (6.0::DOUBLE)) t(db) GROUP BY ALL
 """
 
 BOUND = {
