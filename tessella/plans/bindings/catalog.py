@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans.bindings import codes, coding, features, governance, integrity, rasters, reports, textfiles
+from tessella.plans.bindings import codes, coding, features, governance, integrity, rasters, reports, streams, textfiles
 from tessella.plans.bindings.common import Bound
 
-_MODULES = (integrity, governance, features, rasters, codes, coding, reports, textfiles)
+_MODULES = (integrity, governance, features, rasters, codes, coding, reports, textfiles, streams)
 
 CATALOG: dict[str, Bound] = {}
 for _module in _MODULES:
