@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from tessella.operators.records import (
     validate_records,
     validate_whitening_records,
 )
+from tessella.operators.stored_tree import compare_trees, read_tree, store_tree
 from tessella.plans.bindings.common import Bound, derive, derive_sql, embeddings
-from tessella.session import read_table, union_all
+from tessella.session import checkpoint_folder, read_table, union_all
 
 # Order lines as migration tuples: order -> part under a return flag.
 _EXPECTED = {
@@ -374,6 +377,28 @@ UNION ALL {_FIELDS_SQL}
 """
 
 
+# Two versions of a tree of documents: some changed, some gone, some new.
+_TREE_OLD = {"rel": "'docs/' || doc_id", "sha256": "<<coalesce(text, '')>>"}
+_TREE_NEW = _TREE_OLD | {"sha256": "CASE WHEN doc_id % 211 = 7 THEN <<'new' || coalesce(text, '')>> ELSE <<coalesce(text, '')>> END"}
+
+
+def stored_tree_changes(spark: SparkSession, directory: str) -> DataFrame:
+    """Both versions stored with their hash levels, and compared from the top."""
+    docs = read_table(spark, directory, "documents", "doc_id", "text", spread=True)
+    folder = f"{checkpoint_folder(spark)}/trees-{uuid.uuid4().hex}"
+    store_tree(derive(docs.filter("doc_id % 173 <> 5"), _TREE_OLD), f"{folder}/old")
+    store_tree(derive(docs.filter("doc_id % 197 <> 3"), _TREE_NEW), f"{folder}/new")
+    return compare_trees(read_tree(spark, f"{folder}/old"), read_tree(spark, f"{folder}/new"))
+
+
+_TREES_SQL = f"""
+WITH o AS ({derive_sql("documents", _TREE_OLD)} WHERE doc_id % 173 <> 5), n AS ({derive_sql("documents", _TREE_NEW)} WHERE doc_id % 197 <> 3)
+SELECT 'missing_file' AS rule, rel AS key, sha256 AS detail FROM o WHERE rel NOT IN (SELECT rel FROM n)
+UNION ALL SELECT 'unlisted_file', rel, sha256 FROM n WHERE rel NOT IN (SELECT rel FROM o)
+UNION ALL SELECT 'hash_mismatch', rel, n.sha256 FROM o JOIN n USING (rel) WHERE o.sha256 <> n.sha256
+"""
+
+
 def table_fingerprint(spark: SparkSession, directory: str) -> DataFrame:
     docs = read_table(spark, directory, "documents", "text", "lang")
     return table_digest(docs, row_digest("text", "lang"))
@@ -404,5 +429,6 @@ BOUND = {
     "record_schema_check": Bound(record_schema_check, _PROPS_SQL),
     "environment_records": Bound(environment_records, _ENV_SQL),
     "whitening_artifacts": Bound(whitening_artifacts, _ARTIFACT_SQL),
+    "stored_tree_changes": Bound(stored_tree_changes, _TREES_SQL),
     "table_fingerprint": Bound(table_fingerprint, _FINGERPRINT_SQL),
 }
