@@ -15,12 +15,22 @@ from tessella.llm.common import fresh
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-# Phrases of page furniture; a line that has one fails.
+# Phrases of page furniture in the languages of the tables; a line they make up a good part of fails.
 BOILERPLATE = (
     "cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (up|in) (now|today|to)|"
     "subscribe (now|to)|enable javascript|lorem ipsum|share on (facebook|twitter|linkedin)|powered by|back to top|"
-    "skip to (main )?content|read more|add to cart|leave a (comment|reply)"
+    "skip to (main )?content|read more|add to cart|leave a (comment|reply)|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|hier klicken|weiterlesen|jetzt (anmelden|abonnieren)|"
+    "nach oben|in den warenkorb|zum inhalt springen|kommentar schreiben|"
+    "tous droits réservés|politique de confidentialité|conditions d.utilisation|cliquez ici|lire la suite|abonnez-vous|"
+    "haut de page|ajouter au panier|aller au contenu|laisser un commentaire|"
+    "todos los derechos reservados|política de privacidad|términos de uso|haga clic aquí|leer más|suscríbete|"
+    "volver arriba|añadir al carrito|saltar al contenido|deja un comentario"
 )
+# A line fails when a fifth of its characters or more are such phrases.
+PHRASE_SHARE = 5
+# Shorter lines that end in dots are teasers of another page.
+TEASER_WORDS = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,11 +66,19 @@ def is_stutter(line: Column) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    return F.lower(line).rlike(BOILERPLATE)
+    """Phrases of page furniture hold a fifth of the line's characters; in a long sentence they do not matter."""
+    lowered = F.lower(line)
+    without = F.length(F.regexp_replace(lowered, BOILERPLATE, ""))
+    return lowered.rlike(BOILERPLATE) & ((F.length(lowered) - without) * PHRASE_SHARE >= F.length(lowered))
+
+
+def is_teaser(line: Column) -> Column:
+    """A short line that breaks off in dots."""
+    return line.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$") & (occurrences(line, " ") + 1 < TEASER_WORDS)
 
 
 def fails(line: Column) -> Column:
-    return is_navigation(line) | is_symbols(line) | is_boilerplate(line) | is_stutter(line)
+    return is_navigation(line) | is_symbols(line) | is_boilerplate(line) | is_teaser(line) | is_stutter(line)
 
 
 def repeated_words(words: Column, width: int) -> Column:
@@ -87,7 +105,7 @@ def apply_quality_rules(
     ``kept`` is false when the base rules fail (fewer than ``least_words`` words, or over ``most_repeated``
     percent of the words in repeated windows), or when the lines left hold less than ``keep_share`` of the
     characters of the lines that have a word. Null and empty texts have no words and fail; their clean text is
-    empty. Rows are judged one by one, so repeated rows get equal results and an empty table stays empty.
+    empty; texts of any length are judged whole, in memory of their row. Rows are judged one by one, so repeated rows get equal results and an empty table stays empty.
     Columns of the documents are kept; those named like a result are replaced.
     """
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "n_failed_lines", "base_failed", "kept")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import read
-from tessella.llm.quality import BOILERPLATE, apply_quality_rules
+from tessella.llm.quality import BOILERPLATE, PHRASE_SHARE, TEASER_WORDS, apply_quality_rules
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "base_failed", "kept"]
 
@@ -16,7 +16,9 @@ _COUNT = "(length({0}) - length(translate({0}, '{1}', '')))".format
 _FAILS = f"""(({_COUNT('l', '|»›•')} >= 3 AND {_COUNT('l', '|»›•')} * 10 >= {_COUNT('l', ' ')} + 1)
  OR {_COUNT('l', '#*$%&<>=^~{}')} * 10 >= length(l)
  OR ({_COUNT('l', '!')} >= 3 AND {_COUNT('l', '!')} * 5 >= {_COUNT('l', ' ')} + 1)
- OR regexp_matches(lower(l), '{BOILERPLATE}')
+ OR (regexp_matches(lower(l), '{BOILERPLATE}')
+     AND (length(lower(l)) - length(regexp_replace(lower(l), '{BOILERPLATE}', '', 'g'))) * {PHRASE_SHARE} >= length(lower(l)))
+ OR (regexp_matches(l, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$') AND {_COUNT('l', ' ')} + 1 < {TEASER_WORDS})
  OR (len(string_split(l, ' ')) >= 4 AND
      2 * len(list_filter(string_split(l, ' '), lambda x, i: i > 1 AND x = string_split(l, ' ')[i - 1])) >= len(string_split(l, ' '))))"""
 

@@ -61,3 +61,16 @@ def test_language_rows_are_chosen_without_regard_to_partitions(spark):
     first = language.fit_text_model(frame.repartition(1), training_rows=20)
     second = language.fit_text_model(frame.repartition(9).orderBy(F.rand(3)), training_rows=20)
     assert first.languages == second.languages == ("en",) and (first.table == second.table).all()
+
+
+def test_phrases_count_against_the_length_of_their_line(spark):
+    from tessella.llm.quality import apply_quality_rules
+
+    prose = " ".join(f"word{i}" for i in range(200))
+    rows = [
+        (1, f"{prose} you can read more in chapter two", "en", "s", 1),
+        (2, "\n".join(["Read more", "Alle Rechte vorbehalten.", "Lire la suite", "Leer más aquí", prose]), "en", "s", 1),
+        (3, f"{prose} and so on...\nNews from the town ...\nMore to come…\n", "en", "s", 1),
+    ]
+    got = {r.doc_id: r for r in apply_quality_rules(documents(spark, rows)).collect()}
+    assert [got[i].n_failed_lines for i in (1, 2, 3)] == [0, 4, 2] and all(r.kept for r in got.values())
