@@ -53,6 +53,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row; columns that hold maps, which have no hash of their own, go in as JSON."""
+    own = [F.to_json(F.struct(F.col(c))) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    return F.xxhash64(*own)
+
+
 def map_rows(
     df: DataFrame,
     schema: str,

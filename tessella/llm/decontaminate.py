@@ -13,13 +13,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import alnum_words, map_rows, written
+from tessella.llm.common import alnum_words, fresh, map_rows, written
 
 # Item text of one block of the benchmark, in bytes. Its windows, up to one for each word, take some hundred
 # times as much in the driver and in every Python worker.
 BLOCK_BYTES = 1 << 20
 
 HITS = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+RESULTS = ("n_words", "spans", "items")
 
 
 class WordSearch:
@@ -94,18 +95,18 @@ def find_benchmark(
 ) -> DataFrame:
     """Add ``n_words``, ``spans`` (word ranges hit) and ``items`` (occurring, as sorted strings) to documents.
 
-    The benchmark is the query set: it is sent to the tasks in blocks of bounded size, and documents pass
+    Whole texts of any length are searched. The benchmark is the query set: it is sent to the tasks in blocks of bounded size, and documents pass
     the blocks one after the other without a shuffle. Between blocks the documents are written to the shared
     folder, so a task never holds two blocks.
 
     Null and empty texts have no words and no hits; items without words are no pattern; items with a null id
     mark words but are not listed; rows of one item id are one item. An empty benchmark hits nothing, repeated
-    documents each get their row. Columns of the documents are kept; those named like a result are replaced.
+    documents each get their row. Columns of the documents are kept; those named like a result, in any case, are replaced.
     """
     wanted = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("words"))
     volume = wanted.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-volume // block_bytes))
-    kept = [c for c in documents.columns if c not in ("n_words", "spans", "items")]
+    kept = [c for c in documents.columns if c.lower() not in RESULTS]
     fields = {f.name: f for f in documents.schema.fields}
     types = "".join(f"`{c}` {fields[c].dataType.simpleString()}, " for c in kept)
     out = documents.select(*kept)
@@ -134,6 +135,14 @@ def _block_pass(search, kept: list[str], text: str, again: bool):
     return rows
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents in which no benchmark window occurs, with their own columns."""
-    return find_benchmark(documents, benchmark, **options).where(F.size("spans") == 0).select(*documents.columns)
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """Documents in which no benchmark window occurs, with their own columns, those named like a result included.
+
+    Null and empty texts have no window and stay, and so do all documents where the benchmark has no words; repeated
+    documents stay or go together; an empty table stays empty. Texts are searched whole, whatever their length.
+    """
+    # Columns named like a result step aside for the search.
+    aside = {c: name for c in documents.columns if c.lower() in RESULTS for (name,) in [fresh(documents, f"{c}_own")]}
+    found = find_benchmark(documents.withColumnsRenamed(aside), benchmark, text=aside.get(text, text), **options)
+    clean = found.where(F.size("spans") == 0).select(*[aside.get(c, c) for c in documents.columns])
+    return clean.withColumnsRenamed({name: c for c, name in aside.items()})

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import encode, fresh, map_rows, sent_if_small, written
+from tessella.llm.common import encode, fresh, map_rows, row_hash, sent_if_small, written
 
 # Labelled rows the text model is fitted on at most: those whose hash of the id comes first.
 TRAINING_ROWS = 10_000
@@ -220,7 +220,7 @@ def keep_identified(documents: DataFrame, model: TextModel | None = None, *, id:
     """The documents whose language is identified, with their own columns; the model is fitted on them if not given."""
     model = model or fit_text_model(documents, id=id)
     hash_, keep = fresh(documents, "hash", "keep")
-    marked = documents.withColumn(hash_, F.xxhash64(*[F.col(c) for c in documents.columns]))
+    marked = documents.withColumn(hash_, row_hash(documents))
     key = F.struct(F.col(id).alias("id"), F.col(hash_).alias("row"))
     found = identify(document_evidence(marked, key), model, **options).where("kept").select(F.col("key").alias(keep)).distinct()
     same = (F.col(hash_) == F.col(f"{keep}.row")) & F.col(id).eqNullSafe(F.col(f"{keep}.id"))

@@ -282,11 +282,11 @@ def scan_licenses(documents: DataFrame, *, text: str = "text", phrases: dict[str
 
     Row by row, so nothing is shuffled and repeated rows get equal results. Null and empty texts have no
     words, places or detections; ties between rules fall to the longer, then the earlier, then the label.
-    Columns of the documents are kept; those named like a result are replaced.
+    Columns of the documents are kept; those named like a result, in any case, are replaced.
     """
     phrases = BASE_PHRASES if phrases is None else phrases
     words_needed = {p.split()[0].encode() for p in phrases}
-    kept = [c for c in documents.columns if c not in ("n_words", "places", "detections")]
+    kept = [c for c in documents.columns if c.lower() not in ("n_words", "places", "detections")]
     types = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in kept)
 
     def rows(columns: dict[str, list]):

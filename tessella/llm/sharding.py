@@ -52,19 +52,21 @@ def assign_shards(
     ``size`` is the text's UTF-8 length plus 8; ``slot`` numbers a shard's rows gaplessly, in parts of about
     ``rows_per_part`` rows that are numbered side by side (see ``ranked``). Rows are identified by nothing but
     their key, so repeated keys share a shard and each get a slot; ties are ordered by checksum and size.
-    Null keys count as key 0 for the shard and keep their null; a null text counts as empty. An empty
+    Keys that are no integers are hashed as strings (64 bits) first. Null integer keys count as key 0 for the shard and keep their null; a null text counts as empty. An empty
     table gives an empty result; other columns of the documents are not looked at.
     """
+    integral = dict(documents.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     rows = documents.select(
         F.col(key).alias("key"),
+        (F.col(key).cast("long") if integral else F.xxhash64(F.col(key).cast("string"))).alias("number"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     count = documents.count()
     parts = max(1, -(-count // (shards * rows_per_part)))
-    placed = rows.withColumn("shard", jump_shard(F.col("key"), shards)).withColumn(
-        "grown_shard", jump_shard(F.col("key"), shards + 1)
-    )
+    placed = rows.withColumn("shard", jump_shard(F.col("number"), shards)).withColumn(
+        "grown_shard", jump_shard(F.col("number"), shards + 1)
+    ).drop("number")
     spread = F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(parts)).cast("int")
     order = [F.col("key"), F.col("text_crc32"), F.col("size")]
     return ranked(placed, ["shard"], order, spread, "slot")

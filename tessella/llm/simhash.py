@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh, map_rows, space_words, written
+from tessella.llm.common import fresh, map_rows, row_hash, space_words, written
 
 # Distinct fingerprints of one bucket that a task compares at a time; larger buckets are cut into cells.
 CELL = 8192
@@ -226,7 +226,7 @@ def drop_near_copies(documents: DataFrame, *, id: str = "doc_id", text: str = "t
     repeat the chosen id, the one with the smallest row hash stays.
     """
     hash_, keep = fresh(documents, "hash", "keep")
-    marked = documents.withColumn(hash_, F.xxhash64(*[F.col(c) for c in documents.columns]))
+    marked = documents.withColumn(hash_, row_hash(documents))
     key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(hash_).alias("row"))
     groups = simhash_groups(marked.select(key.alias("key"), F.col(text).alias("text")), id="key", **options)
     chosen = groups.select(F.col("component_id").alias(keep)).distinct()

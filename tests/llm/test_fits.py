@@ -74,3 +74,31 @@ def test_phrases_count_against_the_length_of_their_line(spark):
     ]
     got = {r.doc_id: r for r in apply_quality_rules(documents(spark, rows)).collect()}
     assert [got[i].n_failed_lines for i in (1, 2, 3)] == [0, 4, 2] and all(r.kept for r in got.values())
+
+
+def test_names_in_any_case_and_map_columns(spark):
+    from tessella.llm import decontaminate, licenses, simhash
+
+    frame = documents(spark).select("*", *[F.lit(c).alias(c) for c in ("N_WORDS", "Spans", "ITEMS", "Places", "Detections")])
+    bench = spark.createDataFrame([("q", "alpha0 beta1"), ("q2", None)], "item_id string, text string")
+    hits = decontaminate.find_benchmark(frame, bench)
+    assert hits.columns == ["doc_id", "text", "lang", "source", "n_chars", "Places", "Detections", "n_words", "spans", "items"]
+    assert hits.select("n_words", "spans").count() == 12
+    kept = decontaminate.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns and {r.N_WORDS for r in kept.collect()} == {"N_WORDS"}
+    scanned = licenses.scan_licenses(frame)
+    assert scanned.select("n_words", "places", "detections").count() == 12 and "Places" not in scanned.columns
+    mapped = documents(spark).withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    for stay in (simhash.drop_near_copies(mapped), language.keep_identified(mapped)):
+        assert stay.columns == mapped.columns and stay.count() <= 12
+
+
+def test_shards_of_string_keys(spark):
+    from tessella.llm import sharding
+
+    frame = spark.createDataFrame([(f"doc-{i}", "x" * i) for i in range(200)] + [(None, None)], "doc_id string, text string")
+    got = sharding.assign_shards(frame, shards=5).collect()
+    assert len(got) == 201 and {r.shard for r in got} == set(range(5)) and all(r.grown_shard in (r.shard, 5) for r in got)
+    for shard in range(5):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
