@@ -18,7 +18,7 @@ _FAILS = f"""(({_COUNT('l', '|»›•')} >= 3 AND {_COUNT('l', '|»›•')} *
  OR ({_COUNT('l', '!')} >= 3 AND {_COUNT('l', '!')} * 5 >= {_COUNT('l', ' ')} + 1)
  OR (regexp_matches(lower(l), '{BOILERPLATE}')
      AND (length(lower(l)) - length(regexp_replace(lower(l), '{BOILERPLATE}', '', 'g'))) * {PHRASE_SHARE} >= length(lower(l)))
- OR (regexp_matches(l, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$') AND {_COUNT('l', ' ')} + 1 < {TEASER_WORDS})
+ OR ((rtrim(l) LIKE '%...' OR rtrim(l) LIKE '%…') AND {_COUNT('l', ' ')} + 1 < {TEASER_WORDS})
  OR (len(string_split(l, ' ')) >= 4 AND
      2 * len(list_filter(string_split(l, ' '), lambda x, i: i > 1 AND x = string_split(l, ' ')[i - 1])) >= len(string_split(l, ' '))))"""
 
