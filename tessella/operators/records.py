@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.canonical_json import canonical_json
+from tessella.functions.keyed import tagged_sha256
 from tessella.functions.text import LEAK_NEEDLES, LEAK_PATTERNS, first_leak, is_digest
 
 # Without one of these, no pattern can match; every pattern has its own.
@@ -288,20 +290,8 @@ def canonical_fingerprint(payload: Mapping[str, object]) -> str:
 
 
 def environment_fingerprint(json_column: Column) -> Column:
-    """Digest of the canonical JSON of a record without its labelling fields."""
-    return F.arrow_udf(_fingerprints, "string")(json_column)
-
-
-def _fingerprints(records: pa.Array) -> pa.Array:
-    out = []
-    for text in records.to_pylist():
-        try:
-            record = json.loads(text)
-            kept = {k: v for k, v in record.items() if k not in NOT_FINGERPRINTED}
-            out.append(canonical_fingerprint(kept))
-        except (TypeError, ValueError, AttributeError):
-            out.append(None)
-    return pa.array(out, pa.string())
+    """Digest of the canonical JSON of a record without its labelling fields; null unless it is an object."""
+    return tagged_sha256(canonical_json(json_column, NOT_FINGERPRINTED))
 
 
 def validate_environment_records(df: DataFrame, key: str, json_column: str) -> DataFrame:

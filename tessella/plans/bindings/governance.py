@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.canonical_json import canonical_json
 from tessella.functions.keyed import tagged_sha256
 from tessella.functions.text import CANARIES, LEAK_PATTERNS
 from tessella.operators import lineage
@@ -291,7 +292,8 @@ def environment_records(spark: SparkSession, directory: str) -> DataFrame:
     return validate_environment_records(records, "event_id", "json").select("key", "rule", "label")
 
 
-# The unknown top-level key also enters the recomputed digest.
+# Rules of single fields by the place they are planted at; the digests are computed again from the canonical text,
+# which an unknown key enters, too.
 _ENV_EXPECTED = (
     (1, "unknown_value", "determinism_mode"),
     (2, "not_str_to_str", "package_versions"),
@@ -303,13 +305,55 @@ _ENV_EXPECTED = (
     (8, "bad_digest", "uv_lock_sha256"),
     (9, "missing_field", "public_reference_environment_digest"),
     (10, "unknown_field", ""),
-    (10, "fingerprint_mismatch", "execution_environment_fingerprint"),
-    (11, "fingerprint_mismatch", "execution_environment_fingerprint"),
 )
-_ENV_SQL = " UNION ALL ".join(
+_ENV_FIELDS_SQL = " UNION ALL ".join(
     f"SELECT CAST(event_id AS VARCHAR) AS key, '{rule}' AS rule, '{label}' AS label FROM events WHERE event_id % 17 = {k}"
     for k, rule, label in _ENV_EXPECTED
 )
+_ENV_SQL = f"""
+WITH p AS ({derive_sql("events", _ENV)}), r AS ({derive_sql("p", {"event_id": "event_id", "payload": "payload", "json": _ENV_JSON})}),
+d AS (SELECT event_id, regexp_extract(json, '"execution_environment_fingerprint":"([^"]*)"', 1) AS stated, 'sha256:' ||
+  sha256(CASE WHEN json LIKE '%"hostname"%' THEN replace(payload, ',"install_mode"', ',"hostname":"h","install_mode"') ELSE payload END) AS computed FROM r)
+SELECT CAST(event_id AS VARCHAR) AS key, 'fingerprint_mismatch' AS rule, 'execution_environment_fingerprint' AS label
+FROM d WHERE stated <> computed
+UNION ALL {_ENV_FIELDS_SQL}
+"""
+
+
+def canonical_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents as loosely written JSON with nested, unordered and escaped members, and the digest of their canonical text."""
+    docs = read_table(spark, directory, "documents", spread=True)
+    share = F.col("n_chars") / F.lit(8.0)
+    member = lambda name, value: F.concat(F.lit(f' "{name}" :\t'), value)
+    inner = F.concat(
+        F.lit("{"), member("\\u00fc", F.to_json(F.array("text"))), F.lit(" ,"), member("10", F.to_json(F.struct("source"))), F.lit("}")
+    )
+    text = F.concat(
+        F.lit("\n{"), member("text", inner), F.lit(","), member("share", F.concat(share.cast("decimal(20,4)").cast("string"), F.lit("E0"))),
+        F.lit(","), member("lang", F.to_json(F.array("lang", "source"))), F.lit(","), member("doc_id", F.col("doc_id").cast("string")),
+        F.lit("}\n"),
+    )
+    return docs.select("doc_id", tagged_sha256(canonical_json(text)).alias("digest"))
+
+
+def _escaped_sql(text: str) -> str:
+    """A JSON string as Python writes it; the tables hold no control characters but line feeds, tabs and returns."""
+    short = "CASE c WHEN '\"' THEN '\\\"' WHEN '\\' THEN '\\\\' WHEN chr(10) THEN '\\n' WHEN chr(9) THEN '\\t' WHEN chr(13) THEN '\\r'"
+    unit = "'\\u' || lower(lpad(to_hex({0}), 4, '0'))"
+    code = "unicode(c)"
+    pair = f"{unit.format(f'55296 + ({code} - 65536) // 1024')} || {unit.format(f'56320 + ({code} - 65536) % 1024')}"
+    char = (
+        f"{short} ELSE CASE WHEN {code} BETWEEN 32 AND 126 THEN c WHEN {code} < 65536 THEN {unit.format(code)} ELSE {pair} END END"
+    )
+    return f"'\"' || coalesce(list_aggregate(list_transform(regexp_extract_all({text}, '(?s).'), lambda c: {char}), 'string_agg', ''), '') || '\"'"
+
+
+_CANONICAL_SQL = f"""
+WITH s AS (SELECT doc_id, n_chars / 8.0::DOUBLE AS share, {_escaped_sql("text")} AS text, {_escaped_sql("lang")} AS lang,
+  {_escaped_sql("source")} AS source FROM documents)
+SELECT doc_id, 'sha256:' || sha256('{{"doc_id":' || doc_id || ',"lang":[' || lang || ',' || source || '],"share":' || CAST(share AS VARCHAR) ||
+  ',"text":{{"10":{{"source":' || source || '}},"\\u00fc":[' || text || ']}}}}') AS digest FROM s
+"""
 
 
 def _artifact_json(a: Column, b: Column, c: Column, n: Column) -> Column:
@@ -428,6 +472,7 @@ BOUND = {
     "leak_scan_planted": Bound(leak_scan_planted, _scan_sql(derive_sql("orders", _PLANTED), ())),
     "record_schema_check": Bound(record_schema_check, _PROPS_SQL),
     "environment_records": Bound(environment_records, _ENV_SQL),
+    "canonical_documents": Bound(canonical_documents, _CANONICAL_SQL),
     "whitening_artifacts": Bound(whitening_artifacts, _ARTIFACT_SQL),
     "stored_tree_changes": Bound(stored_tree_changes, _TREES_SQL),
     "table_fingerprint": Bound(table_fingerprint, _FINGERPRINT_SQL),
