@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 _STRING_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _STRING_OR_NUMBER = rf'"({_STRING_BODY})"|({_NUMBER})'
-_TOKEN = rf'"{_STRING_BODY}"|[^"]++'
+# Runs without anything to convert, in which strings hold no escapes, or single strings and numbers.
+_RUN = r'(?:"\|[ !#-\[\]-~]*+"|"(?:0|-?[1-9][0-9]*+)\|"|[^"]++)++'
+_TOKEN = rf'{_RUN}|"{_STRING_BODY}"'
 # Unicode escapes, runs that stay as they are, and single characters that need an escape.
 _PIECE = r"\\u[0-9A-Fa-f]{4}|(?:[ -\[\]-~]|\\[^u])++|[^ -~]"
 _SURROGATE = r"\\u[dD][89a-fA-F]"
@@ -160,11 +162,12 @@ def _number(text: Column) -> Column:
 
 
 def _token(token: Column) -> Column:
-    """The token as Python writes it: string, number, or what stands between them."""
-    body = F.substr(token, F.lit(3))
-    string = F.concat(F.lit('"'), _escaped(body))
+    """The token as Python writes it: a string, a number, or a run that only loses its marks."""
+    run = F.replace(F.regexp_replace(token, r'"(-?[0-9]+)\|"', "$1"), F.lit('"|'), F.lit('"'))
+    string = F.concat(F.lit('"'), _escaped(F.substring(token, 3, 2**31 - 1)))
     number = _number(F.substr(token, F.lit(2), F.length(token) - 3))
-    return F.when(token.startswith('"|'), string).when(token.startswith('"'), number).otherwise(token)
+    single = token.rlike(rf'^"{_STRING_BODY}"$')
+    return F.when(~single, run).when(token.startswith('"|'), string).otherwise(number)
 
 
 def canonical_json(text: Column, without: Sequence[str] = ()) -> Column:
@@ -186,5 +189,5 @@ def canonical_json(text: Column, without: Sequence[str] = ()) -> Column:
         ordered = F.to_json(F.map_filter(members, lambda key, _: ~key.isin(*dropped)))
     else:
         ordered = F.to_json(parsed)
-    tokens = F.regexp_extract_all(_in_code_point_order(ordered), F.lit(_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(_let(ordered, _in_code_point_order), F.lit(_TOKEN), F.lit(0))
     return F.array_join(F.transform(tokens, _token), "")

@@ -12,7 +12,7 @@ TEXTS = [
     '{"b":1,"a":{"d":null,"c":[true,false]}}', '{"10":1,"9":2,"":3,"A":4,"a":5,"_":6}',
     r'"\u001F\u007f\/\b\f\n\r\t\"\\ \\u001F \\\\u00e9"', '"é ß 中 😀   \u007f"', r'"😀 \\ud800"',
     '{"！":1,"😀":2,"z":3,"￿":4,"￿😀":5,"￿ ":6}', '{"k":{"！":1,"😀":{"￿":1,"a😀":2,"a":3}}}',
-    '{"|":1,"1|":"2|","s":"|1|"}', "1234567890123456789012345678901234567890123456789", "1.50", "4.0", "1e5", "1E+2", "1e16",
+    '{"|":1,"1|":"2|","s":"|1|"}', r'["12|", 12, "\"12|", -12, 0, -0, "\\", "|", "\"|"]', r'{"a\"1|":"|","b":[1,2.50,"c"]}', "1234567890123456789012345678901234567890123456789", "1.50", "4.0", "1e5", "1E+2", "1e16",
     "123456789012345680.0", "1e-4", "0.0001", "0.00001", "1.5e-7", "1e22", "1e23", "5e-324", "4.9e-324", "2.4703282292062328e-324",
     "1.7976931348623157e308", "1e309", "-1e999", "1e-999", "0.1000000000000000055511151231257827", "9007199254740993.0",
     "0.30000000000000004", "2.2250738585072014e-308", "100000000000000000000000.0", "999999999999999999.9", "1e00000000005",
