@@ -85,3 +85,16 @@ def test_stays_in_the_jvm(spark):
     plan = spark.range(3).select(canonical_json(F.lit('{"a":1}').substr(F.lit(1), F.col("id").cast("int")), ("b",)))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Exchange" not in text
+
+
+def test_plain_texts_take_the_short_way(spark):
+    texts = ['{"b": [1, -0, true, null, {}], "a": {"z": "x:1.5", "y": "12e3"}}', '{"d": "sha256:1e5", "c": 123456789012345678}',
+             '[9223372036854775808, 1]', '{"a": 1.50}', '{"a":[1,2e3]}', '{"a": "\x7f"}', '{"a" : 01}', "7", '{"a": 1, "a": 2}', '{"a": -5 }\n']
+    from tessella.functions import canonical_json as module
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", module._plain(F.col("t")).alias("plain"), canonical_json(F.col("t")).alias("c"))
+    rows = {r["t"]: r for r in frame.collect()}
+    for text in texts:
+        bad = text in ('{"a" : 01}', '{"a": 1, "a": 2}')
+        assert rows[text]["c"] == (None if bad else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))), text
+    assert rows[texts[1]]["plain"] and not any(rows[t]["plain"] for t in texts[2:6])

@@ -117,3 +117,17 @@ def test_whitening_tampering(spark, change, problem):
 def test_optional_digest(spark):
     payload = models.whitening_to_dict(stats()) | {"input_manifest_sha256": None}
     assert models.whitening_from_dict(spark, payload).input_manifest_sha256 is None
+
+
+def test_records_are_read_by_compiled_code(spark):
+    """No rule is evaluated inside a generator, and each object is taken apart once."""
+    frame = spark.createDataFrame([(0, json.dumps(record()))], "id int, json string")
+    plan = validate_environment_records(frame, "id", "json")._jdf.queryExecution().executedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate inline" in line]
+    assert len(generators) == 1 and "CASE WHEN" not in generators[0]
+    assert "schemaOfVariant(try_variant_get" not in plan
+
+
+def test_object_after_a_line_break(spark):
+    frame = spark.createDataFrame([(0, "\n" + json.dumps(record()))], "id int, json string")
+    assert validate_environment_records(frame, "id", "json").isEmpty()
