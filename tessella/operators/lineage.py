@@ -16,6 +16,9 @@ FILE_MAP_SCHEMA = (
     "dissertation_file string, derivation string, source_2026_file string, "
     "source_sha256 string, current_sha256 string, notes string"
 )
+# File sizes tell little of how large digests and paths are in memory, so that a small file may be broadcast as a
+# large table. Joins by path are therefore always sorted on both sides; nothing goes through the driver.
+SHUFFLED = "merge"
 LABEL_PATTERN = r"\\label\{((?:fig|tab):[^}]+)\}"
 
 
@@ -25,7 +28,7 @@ def verify_tree(
     """Checksum list ``(rel, sha256)`` against a tree scan: missing, changed and unlisted files."""
     listing = listed.select("rel", F.col("sha256").alias("expected"), F.lit(True).alias("listed"))
     tree = actual.select("rel", F.col("sha256").alias("actual"), F.lit(True).alias("present"))
-    joined = listing.join(tree, "rel", "full_outer")
+    joined = listing.join(tree.hint(SHUFFLED), "rel", "full_outer")
     is_listed, present = F.col("listed").isNotNull(), F.col("present").isNotNull()
     return flag_rows(
         joined,
@@ -56,7 +59,7 @@ def check_fanout(
     sides = key_sides(expected, declared, *TUPLE)
     for side, known in (("target", targets), ("source", sources)):
         there = known.select(F.col("rel").alias(side)).distinct().withColumn(f"has_{side}", F.lit(True))
-        sides = sides.join(there, side, "left")
+        sides = sides.join(there.hint(SHUFFLED), side, "left")
     wanted, seen = F.col("in_expected"), F.col("in_seen")
     pair, detail = F.concat_ws(" -> ", "source", "target"), F.col("derivation")
     rules = [
@@ -112,13 +115,13 @@ def check_file_map(
         F.lit("").alias("detail"),
     )
     joined = mapped.join(
-        targets.select(F.col("rel").alias("target"), F.col("sha256").alias("target_actual")),
+        targets.select(F.col("rel").alias("target"), F.col("sha256").alias("target_actual")).hint(SHUFFLED),
         "target",
         "left",
     ).join(
         sources.select(
             F.col("rel").alias("source_2026_file"), F.col("sha256").alias("source_actual")
-        ),
+        ).hint(SHUFFLED),
         "source_2026_file",
         "left",
     )
@@ -165,5 +168,5 @@ def uncovered_labels(
     found = texts.select(
         F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("label")
     ).distinct()
-    lost = found.join(inventory.select("label").distinct(), "label", "left_anti")
+    lost = found.join(inventory.select("label").distinct().hint(SHUFFLED), "label", "left_anti")
     return as_problems(lost, "label_not_in_inventory", F.col("label"), F.lit(""))

@@ -82,3 +82,8 @@ def test_labels(spark):
     inventory = spark.createDataFrame([("tab:b",)], "label string")
     report = lineage.uncovered_labels(texts, "text", inventory)
     assert pairs(report) == {("label_not_in_inventory", "fig:a", "")}
+
+
+def test_file_map_sends_no_table_through_the_driver(spark):
+    plan = lineage.check_file_map(**world(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
