@@ -87,3 +87,16 @@ def test_labels(spark):
 def test_file_map_sends_no_table_through_the_driver(spark):
     plan = lineage.check_file_map(**world(spark))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fanout_and_labels_send_no_table_through_the_driver(spark):
+    state = world(spark)
+    declared = state["file_map"].selectExpr("source_2026_file AS source", "dissertation_file AS target", "derivation")
+    labels = spark.createDataFrame([(r"\label{fig:a}",)], "text string")
+    reports = [
+        lineage.check_fanout(declared, declared, state["sources"].select("rel"), state["targets"].select("rel")),
+        lineage.uncovered_labels(labels, "text", spark.createDataFrame([("fig:b",)], "label string")),
+    ]
+    for report in reports:
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
