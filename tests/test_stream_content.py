@@ -33,3 +33,10 @@ def test_replay_equals_the_batch_rules(spark, tmp_path, data_dir):
     seen = got.filter("rule = 'leakage_seen'")
     assert pairs(seen.select("key").distinct()) == pairs(m.split_leakage(totals).select("key"))
     assert pairs(seen.groupBy("key").agg(F.max_by("detail", F.length("detail")))) == pairs(m.split_leakage(totals).select("key", "detail"))
+
+
+def test_state_travels_with_the_rows(spark):
+    """Calls to the store for every digest made a digest cost milliseconds."""
+    rows = spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS content_sha256", "'train' AS role", "timestamp AS at")
+    plan = content.content_findings(rows, "at", "2 hours")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
