@@ -129,17 +129,21 @@ def scan_files(
     """The findings of ``scan_texts`` for the files under ``root``, which may be larger than a task.
 
     Lines are scanned split by split and numbered afterwards. Files that are not UTF-8 have no findings, and neither do
-    binary suffixes; a forbidden path has its one finding even where the file is empty.
+    binary suffixes; a forbidden path has its one finding even where the file is empty. Paths are judged once a split:
+    for every line that takes several times as long as to search it.
     """
-    readable = ~has_binary_suffix(F.col("path")) & ~is_forbidden_path(F.col("path"))
-    lines = source_lines.read_lines(spark, root).withColumn("path", source_lines.relative(spark, root)).where(readable)
+    path = source_lines.relative(spark, root)
+    lines = source_lines.read_lines(spark, root)
     # A line that is not valid has no text to search; its file is left out afterwards. With its own break back, what
-    # stands between a further break and that one is a line, too.
+    # stands between a further break and that one is a line, too. An empty path is neither forbidden nor binary.
     ended = F.concat("value", F.lit("\n"))
-    texts = lines.select("path", "file", "block", "id", F.try_validate_utf8(ended).alias("text"))
-    found = scan_texts(texts, extra_patterns, snippet_length=snippet_length, carry=("file", "block", "id"))
-    inside = source_lines.numbered(found.withColumnRenamed("lineno", "inner"), lines, inner="inner", lineno="lineno")
-    listed = source_lines.file_paths(spark, root).withColumn("path", source_lines.relative(spark, root))
+    texts = lines.select(F.lit("").alias("path"), "file", "block", "id", F.try_validate_utf8(ended).alias("text"))
+    found = scan_texts(texts, extra_patterns, snippet_length=snippet_length, carry=("file", "block", "id")).drop("path")
+    wanted = ~has_binary_suffix(path) & ~is_forbidden_path(path)
+    inside = source_lines.numbered(
+        found.withColumnRenamed("lineno", "inner"), lines, inner="inner", lineno="lineno", wanted=wanted
+    ).withColumn("path", path)
+    listed = source_lines.file_paths(spark, root).withColumn("path", path)
     forbidden = scan_texts(listed.where(is_forbidden_path(F.col("path"))).select("path", F.lit("").alias("text")))
     columns = ["path", F.col("lineno").cast("long").alias("lineno"), "pattern", "snippet"]
     return inside.select(*columns).unionByName(forbidden.select(*columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import LINE_BREAK
+from tessella.functions.text import LINE_BREAK, RARE_BREAK
 from tessella.sources.files import relative_path
 
 SPLIT = ["file", "block"]
@@ -36,19 +36,23 @@ def read_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 def line_count(value: Column) -> Column:
     """Lines a physical line stands for: further breaks (form feeds, Unicode separators, ...) open lines too."""
-    return F.size(F.split(value, LINE_BREAK))
+    return F.when(value.rlike(RARE_BREAK), F.size(F.split(value, LINE_BREAK))).otherwise(1)
 
 
-def split_offsets(lines: DataFrame) -> DataFrame:
+def split_offsets(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Of every split: its first id, the lines before it in its file, and whether the whole file is UTF-8.
 
-    One row a task and split is shuffled. The window over a file holds one row for each of its splits.
+    One row a task and split is shuffled. The window over a file holds one row for each of its splits. Files that are
+    not ``wanted``, a condition on ``file``, are not valid either; it is evaluated once a split. As a filter the
+    optimizer would push it down to every line, past the grouping and, over the join of ``numbered``, into both sides.
     """
     counted = lines.groupBy(*SPLIT).agg(
         F.min("id").alias("base"),
         F.sum(line_count(F.col("value"))).alias("n"),
         F.bool_and(F.is_valid_utf8("value")).alias("valid"),
     )
+    if wanted is not None:
+        counted = counted.withColumn("valid", F.col("valid") & wanted)
     whole = Window.partitionBy("file")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return counted.select(
@@ -59,13 +63,16 @@ def split_offsets(lines: DataFrame) -> DataFrame:
     )
 
 
-def numbered(found: DataFrame, lines: DataFrame, *, inner: str, lineno: str) -> DataFrame:
+def numbered(
+    found: DataFrame, lines: DataFrame, *, inner: str, lineno: str, wanted: Column | None = None
+) -> DataFrame:
     """Replace the number inside the physical line (``inner``, from 1) by the number in the file.
 
     ``found`` has ``file``, ``block`` and ``id`` of ``lines``. Rows of files that are not UTF-8 are dropped, as
-    their text has no characters to report. Lines with further breaks shift those after them in the split.
+    their text has no characters to report, and so are those of files that are not ``wanted``. Lines with further
+    breaks shift those after them in the split.
     """
-    offsets = split_offsets(lines)
+    offsets = split_offsets(lines, wanted)
     more = lines.select(*SPLIT, "id", (line_count(F.col("value")) - 1).alias("more")).where("more > 0")
     shifts = more.select(*SPLIT, "id", "more", F.lit(None).cast(_kind(found)).alias("row"))
     wanted = found.select(*SPLIT, "id", F.lit(0).alias("more"), F.struct(*found.columns).alias("row"))

@@ -52,6 +52,25 @@ def test_findings_and_numbers_equal_those_of_whole_files(spark, tmp_path, splits
         assert lines.read_lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 12
 
 
+def test_paths_are_not_judged_on_every_line(spark, tmp_path):
+    """No condition over the lines of text files makes or tests a path, not even one that the optimizer pushed there."""
+    (tmp_path / "a.txt").write_bytes(b"/home/alice/\n")
+    plan = scan_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    leaf, over_lines = "", []
+    for node in reversed(plan):
+        leaf = node if "Relation [" in node else leaf
+        if "Filter " in node and leaf.endswith(" text"):
+            over_lines.append(node)
+    assert over_lines and not any("regexp" in node for node in over_lines)
+
+
+def test_breaks_inside_lines_are_counted_as_python_splits(spark):
+    values = ["", "plain", "ümläut 日本語", "\x0b", "a\x0bb\x0c", "\x1c\x1d\x1e", "x\x85y\u2028z\u2029"]
+    frame = spark.createDataFrame([(v,) for v in values], "value string")
+    got = [r[0] for r in frame.select(lines.line_count(F.col("value"))).collect()]
+    assert got == [len((v + "|").splitlines()) for v in values]
+
+
 def whole(text):
     return [r for r in csv.reader(io.StringIO(text, newline=None)) if r]
 
