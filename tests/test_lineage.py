@@ -1,6 +1,7 @@
 from rowsets import pairs
 
 from tessella.operators import lineage
+from tessella.plans.bindings.reports import lineage_report
 
 TUPLES = "source string, target string, derivation string"
 COPY, TRANSLATED = lineage.DERIVATIONS
@@ -100,3 +101,11 @@ def test_fanout_and_labels_send_no_table_through_the_driver(spark):
     for report in reports:
         plan = report._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_whole_report_broadcasts_nothing_while_it_runs(spark, data_dir):
+    """What is joined by sorting at first stays so when Spark learns how small a side is."""
+    report = lineage_report(spark, data_dir)
+    assert report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
