@@ -1,6 +1,8 @@
+import pytest
 from rowsets import pairs
 
 from tessella.operators import lineage
+from tessella.plans.bindings import governance
 from tessella.plans.bindings.reports import lineage_report
 
 TUPLES = "source string, target string, derivation string"
@@ -109,3 +111,12 @@ def test_whole_report_broadcasts_nothing_while_it_runs(spark, data_dir):
     assert report.collect()
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("query", [governance.file_map, governance.lineage_fanout, governance.label_coverage])
+def test_queries_that_share_a_step_of_the_report_broadcast_nothing(spark, data_dir, query):
+    """Over stored tables, whose sizes Spark knows; rows made in a test are never taken for small."""
+    report = query(spark, data_dir)
+    assert report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
