@@ -1,3 +1,5 @@
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import inference as inf
 from tessella.operators import matrices, sparse
 from tessella.operators.moments import table_matrix
+from tessella.plans.bindings import coding
 from tessella.session import bounded_matrix
 
 GEN = np.random.default_rng(0)
@@ -123,6 +126,29 @@ def test_softplus_groups(spark):
     assert bound == pytest.approx(sparse.penalty_curvature(got.sum(axis=0).max(), 0.5, 1e-4))
 
 
+def test_softplus_groups_keep_the_digits_of_many_rows(spark, tmp_path):
+    counts = (9878, 10400, 11362)
+    labels = spark.range(sum(counts)).select(
+        F.col("id").alias("vec_id"),
+        F.expr("array(cast(0 as float))").alias("embedding"),
+        F.expr(f"CASE WHEN id < {counts[0]} THEN 0 WHEN id < {sum(counts[:2])} THEN 1 ELSE 2 END").alias("label"),
+    )
+    labels.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["k"], r["m"]): r for r in coding.softplus_groups(spark, str(tmp_path)).collect()}
+    with localcontext() as context:
+        context.prec = 60
+        exact = np.empty((coding.GROUPS, len(counts)), dtype=object)
+        for k, m in np.ndindex(exact.shape):
+            w = (Decimal(counts[m]) / 50).ln() * (4 * k - 6)
+            exact[k, m] = max(w, Decimal(0)) + (1 + (-abs(w)).exp()).ln()
+        exact /= exact.sum(axis=1, keepdims=True)
+        bound = exact.sum(axis=0).max() * Decimal(str(coding.WEIGHT)) / Decimal(str(coding.EPS)).sqrt()
+    assert got.keys() == set(np.ndindex(exact.shape))
+    for at, row in got.items():
+        assert row["w"] == pytest.approx(float(exact[at]), rel=0, abs=6e-7)
+        assert row["bound"] == pytest.approx(float(bound), rel=0, abs=6e-7)
+
+
 def slow_infer(variant, x, steps, eta, weight, eps, s=None):
     s = np.zeros((len(x), M)) if s is None else s
     for _ in range(steps):
